@@ -5,10 +5,10 @@ shingle sets verify them, and alternating large-star and small-star passes turn
 links into components. Only documents whose sets differ take part in pairs: copies of
 one set are folded into their smallest id first.
 
-A bucket never emits all of its pairs at once. Pairs are tested in three rounds, each
-only across components that are still apart: every document against the most central
-document of its buckets, then against the most central one of each of its buckets,
-and last all pairs of those buckets that still span several components. The result is
+A bucket never emits all of its pairs. Every document is tested against the most
+central document of each of its buckets, its pivot; then those other pairs of a bucket
+that are in different components, which the documents' differences from their pivot
+narrow down to few. The result is
 the components of the graph of all verified pairs that share a bucket; a pair at the
 threshold shares none with probability under 1e-7.
 
@@ -25,22 +25,24 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 #: Four minima a band: 32 bands miss a pair of similarity 0.8 with probability 4.8e-8.
 BANDS, ROWS = 32, 4
-#: Of the 128 minima of two sets at similarity 0.8, 104 agree in four bits on average, with
-#: deviation 4.4; fewer than this many is six deviations off.
-LEAST_EQUAL = 78
+#: Minima in a signature; the first BANDS * ROWS make the bands.
+MINIMA = 256
+#: Of the minima of two sets at the threshold, a pair is ruled out if fewer agree in four
+#: bits than the mean less so many deviations, which a linked pair does once in three million.
+DEVIATIONS = 5
 #: Words hashed together; keeps the arrays of the minima in a core's cache.
 CHUNK_WORDS = 100_000
 
 _rng = np.random.default_rng(20240229)
-_A = _rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_A = _rng.integers(1, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
 _M = np.uint64(0x9E3779B97F4A7C15)
 _K = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -87,7 +89,7 @@ def _minima(sets: list[np.ndarray]) -> np.ndarray:
 
 def _bands(m: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band, its number included."""
-    m = m.reshape(len(m), BANDS, ROWS).astype(np.uint64)
+    m = m[:, : BANDS * ROWS].reshape(len(m), BANDS, ROWS).astype(np.uint64)
     k = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * _K, (len(m), 1))
     for r in range(ROWS):
         k = (k ^ m[:, :, r]) * _M
@@ -102,7 +104,7 @@ def _packed(m: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(four << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
 
 
-_SIG = BANDS * ROWS // 16
+_SIG = MINIMA // 16
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
 _SIGNED_DDL = "doc_id long, n_shingles long, set_id binary, bands array<long>, sig array<long>"
 
@@ -147,6 +149,11 @@ def _full_sets(width: int):
     return run
 
 
+def _fetched(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(rep, shingles): the full sets of the given documents."""
+    return texts.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(width), "rep long, shingles binary").distinct()
+
+
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,6 +168,50 @@ def _linked(percent: int):
     return run
 
 
+def _deltas(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(pivot, rep, n, linked, delta): the symmetric difference of each document's set and its pivot's."""
+        for batch in batches:
+            pivots, reps, x, y = batch.columns
+            n, linked, delta = [], [], []
+            for i in range(batch.num_rows):
+                p, q = (np.frombuffer(k[i].as_buffer(), np.uint64) for k in (x, y))
+                d = np.setxor1d(p, q, assume_unique=True)
+                n.append(len(p))
+                linked.append((100 + percent) * len(d) <= (100 - percent) * (len(p) + len(q)))
+                delta.append(d.view(np.int64))
+            cols = [pivots, reps, pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["pivot", "rep", "n", "linked", "delta"])
+
+    return run
+
+
+def _by_deltas(scratch: Scratch, deltas: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) among documents compared with one pivot: every linked pair across components is one.
+
+    A pair is linked if its symmetric difference is at most r = (100 - percent) / (100 +
+    percent) of the sum of its sizes. With both sets' differences from the pivot, A and B,
+    it is |A| + |B| - 2 |A and B|, so the pair must share at least t of the differences;
+    t is positive whenever b isn't linked to the pivot, which one of two documents in
+    different components isn't. Components are those of all links to pivots. Of A's elements, put rarest in the B's first, the first
+    |A| - t + 1 then hold a shared one. Edits of one's own are in no B, and so fill these
+    places without a candidate: a family of copies that drift apart from one original
+    makes few pairs.
+    """
+    r = (100 - percent) / (100 + percent)
+    size = F.size("delta").cast("long")
+    b = deltas.where("not linked").select("pivot", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), size.alias("db"), F.explode("delta").alias("token"))
+    often = scratch.table(b.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("often")), "often")
+    a = deltas.select("pivot", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), size.alias("da"), F.explode("delta").alias("token"))
+    a = a.join(often, ["pivot", "token"], "left")
+    place = F.row_number().over(Window.partitionBy("pivot", "a").orderBy(F.coalesce("often", F.lit(0)), "token")) - 1
+    a = a.withColumn("place", place).where(F.col("often").isNotNull() & (F.col("place") <= F.col("da") * (1 + r) / 2))
+    a = scratch.table(a, "places")
+    t = F.ceil((F.col("da") + F.col("db") - r * (F.col("na") + F.col("nb"))) / 2 - 1e-6)
+    met = a.alias("x").join(b.alias("y"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.token") == F.col("y.token")) & (F.col("ca") != F.col("cb")) & (F.col("place") <= F.col("da") - t))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _common(p: np.ndarray, q: np.ndarray) -> int:
     """Size of the intersection of two sorted arrays of distinct values."""
     if not len(p) or not len(q):
@@ -180,35 +231,40 @@ def _alike(a: str, b: str, percent: int) -> Column:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         unequal.append(F.bit_count(x.bitwiseAND(ones)))
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    least = int(LEAST_EQUAL - (80 - percent) * 1.28 * 0.9375) if percent < 80 else LEAST_EQUAL
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (reduce(lambda p, q: p + q, unequal) <= BANDS * ROWS - least)
+    p = percent / 100 + (1 - percent / 100) / 16
+    most = int(MINIMA * (1 - p) + DEVIATIONS * (MINIMA * p * (1 - p)) ** 0.5) + 1
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (reduce(lambda p, q: p + q, unequal) <= most)
 
 
 def components(scratch: Scratch, edges: DataFrame, most: int = 60) -> DataFrame:
     """Components of the graph of edges (u, v): rows (node, component), the smallest node naming each.
 
-    Alternating large-star and small-star until the edges are stars. Minima and edges
-    are written between the passes, so both sides of each join are exchanged and a hub
-    of any degree can be split. A node without edges has no row.
+    Alternating large-star and small-star until a large-star pass leaves the edges as
+    they are, which are then stars. Minima and edges are written between the passes, so
+    both sides of the joins are exchanged and a hub of any degree can be split. A node
+    without edges has no row.
     """
+    sign = lambda t: t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     now = scratch.table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    last = None
+    last = sign(now)
     for _ in range(most):
         both = now.union(now.select("v", "u"))
-        least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "large")
+        least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = scratch.table(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        low = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), "small")
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        small = scratch.table(small.distinct(), "edges")
-        scratch.drop(now, least, large, low)
-        now = small
-        sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sign == last:
+        scratch.drop(now, least)
+        now = large
+        if (new := sign(large)) == last:
             break
-        last = sign
+        # a node's smaller neighbours are few after a large-star pass
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        now = scratch.table(small.distinct(), "edges")
+        scratch.drop(large)
+        last = sign(now)
     else:
         raise RuntimeError(f"components did not settle in {most} passes")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    stars = now.groupBy("v").agg(F.count(F.lit(1))).select(F.col("v").alias("node"), F.col("v").alias("component"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -231,55 +287,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = scratch.table(reps.dropDuplicates(["rep", "n_shingles", "sig"]), "reps")
 
     rows = reps.select("rep", F.explode("bands").alias("key"))
-    sizes = scratch.table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-    rows = scratch.table(rows.join(sizes, "key").select("key", "rep", "n"), "rows")
-    central = scratch.table(rows.groupBy("rep").agg(F.sum("n").alias("weight")), "central")
-    rows = scratch.table(rows.join(central, "rep").select("key", "rep", "weight"), "weighed")
-    pivots = scratch.table(rows.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("neg"))).alias("p")).select("key", (-F.col("p.neg")).alias("pivot"), F.col("p.weight").alias("w")), "pivots")
-
-    wanted = central.select(F.col("rep").alias("doc_id"))
-    full = scratch.table(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(width), "rep long, shingles binary").distinct(), "full")
-    facts = scratch.table(reps.select("rep", "n_shingles", "sig").join(wanted.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"), "facts")
-
-    star = rows.join(pivots, "key").where("rep <> pivot").select("rep", "pivot", "w")
-    star = scratch.table(star.groupBy("rep", "pivot").agg(F.max("w").alias("w")), "star")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """pairs (a, b): those that pass the signatures and the full sets, as (u, v)."""
-        p = pairs.join(facts.alias("x"), F.col("a") == F.col("x.rep")).select("a", "b", F.struct("x.n_shingles", "x.sig").alias("x"))
-        p = p.join(facts.select(F.col("rep").alias("r"), F.struct("n_shingles", "sig").alias("y")), F.col("b") == F.col("r")).where(_alike("x", "y", percent)).select("a", "b")
-        p = p.join(full.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
-        p = p.join(full.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-        return scratch.table(p.select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "u long, v long"), name)
-
-    first = star.groupBy("rep").agg(F.max(F.struct("w", (-F.col("pivot")).alias("neg"))).alias("p")).select(F.col("rep").alias("a"), (-F.col("p.neg")).alias("b"))
-    links = verified(first, "links")
+    sizes = scratch.table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
+    rows = rows.join(sizes, "key").withColumn("weight", F.sum("m").over(Window.partitionBy("rep"))).select("key", "rep", "weight")
+    rows = scratch.table(rows.join(reps.select("rep", "n_shingles", "sig"), "rep"), "rows")
+    central = F.max_by(F.struct("rep", "n_shingles", "sig"), F.struct("weight", -F.col("rep")))
+    pivots = scratch.table(rows.groupBy("key").agg(central.alias("p")), "pivots")
+
+    # every document against the most central one of each of its buckets
+    named = rows.alias("x").join(pivots.select("key", "p.*").alias("y"), F.col("x.key") == F.col("y.key"))
+    alike = (F.col("x.rep") == F.col("y.rep")) | _alike("x", "y", percent)
+    rows = scratch.table(named.select("x.key", "x.rep", "x.n_shingles", "x.sig", F.col("y.rep").alias("pivot"), alike.alias("starred")), "rows")
+    star = scratch.table(rows.where("starred and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "star")
+    full = [scratch.table(_fetched(texts, star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct(), width), "full")]
+
+    def with_sets(pairs: DataFrame) -> DataFrame:
+        both = reduce(DataFrame.union, full)
+        p = pairs.join(both.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
+        return p.join(both.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+
+    deltas = with_sets(star).select("b", "a", "sa", "sb").mapInArrow(_deltas(percent), "pivot long, rep long, n long, linked boolean, delta array<long>")
+    deltas = scratch.table(deltas, "deltas")
+    links = deltas.where("linked").select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
     comp = scratch.table(components(scratch, links), "comp")
 
     def labelled(df: DataFrame, col: str, out: str) -> DataFrame:
         c = comp.select(F.col("node").alias(col), F.col("component").alias("_c"))
         return df.join(c, col, "left").withColumn(out, F.coalesce("_c", col)).drop("_c")
 
-    apart = labelled(labelled(star.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    more = verified(apart, "links")
+    # the other pairs across components: of documents that both are like their bucket's pivot, by their differences
+    # from it, and those of buckets where one isn't
+    pairs = _by_deltas(scratch, labelled(deltas, "rep", "c"), percent)
+    live = scratch.table(labelled(rows, "rep", "c"), "live")
+    split = live.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.bool_and("starred").alias("all")).where("lo <> hi and not all").select("key")
+    live = scratch.table(live.join(split, "key"), "live")
+    others = live.alias("x").join(live.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & ~(F.col("x.starred") & F.col("y.starred")) & _alike("x", "y", percent))
+    pairs = pairs.union(others.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))).distinct()
+    pairs = scratch.table(pairs, "pairs")
+    lacking = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(full[0].select("rep"), "rep", "left_anti").withColumnRenamed("rep", "doc_id")
+    lacking = scratch.table(lacking, "lacking")
+    if not lacking.isEmpty():
+        full.append(scratch.table(_fetched(texts, lacking, width), "full"))
+    more = scratch.table(with_sets(pairs).select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "u long, v long"), "links")
     if not more.isEmpty():
-        links = links.union(more)
-        comp = scratch.table(components(scratch, links), "comp")
-
-    live = labelled(rows.select("key", "rep"), "rep", "c")
-    live = scratch.table(live, "live")
-    split = scratch.table(live.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "split")
-    live = scratch.table(live.join(split, "key").join(facts, "rep"), "live")
-    pairs = live.alias("x").join(live.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & _alike("x", "y", percent))
-    pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    tested = scratch.table(star.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")), "tested")
-    rest = verified(pairs.join(tested, ["a", "b"], "left_anti"), "links")
-    if not rest.isEmpty():
-        comp = scratch.table(components(scratch, links.union(rest)), "comp")
+        comp = scratch.table(components(scratch, links.union(more)), "comp")
 
     members = labelled(sets, "rep", "component_id").select("set_id", "component_id")
     members = scratch.table(members, "members")
-    scratch.drop(full, facts, live, rows, reps, star, pivots)
+    scratch.drop(*full, deltas, live, rows, reps, star, pivots, pairs)
     out = signed.select("doc_id", "n_shingles", "set_id").join(members, "set_id", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
