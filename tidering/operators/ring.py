@@ -41,11 +41,15 @@ class Geometry:
         if self.data < q or self.span(self.block) > self.data:
             raise invalid("a partition must hold a block")
 
+    def blocks_of(self, span: int) -> int:
+        """How many blocks of one span a partition takes: another goes in while the worst case fits and the index has an entry."""
+        worst = self.span(self.block)
+        return min(0 if self.data < worst else 1 + (self.data - worst) // span, self.index // ENTRY)
+
     @property
     def blocks_per_partition(self) -> int:
-        """Of full blocks: another goes in while the worst case still fits and the index has an entry."""
-        worst = self.span(self.block)
-        return min(0 if self.data < worst else 1 + (self.data - worst) // worst, self.index // ENTRY)
+        """Of full blocks."""
+        return self.blocks_of(self.span(self.block))
 
 
 def numbered(blocks: DataFrame) -> DataFrame:
