@@ -1,0 +1,78 @@
+from __future__ import annotations
+
+import random
+from itertools import combinations
+
+import pytest
+
+from tidering.llm import common, minhash
+
+
+def brute(rows: list[tuple[int, str | None]], width: int, percent: int = 80) -> dict[int, tuple[int, int]]:
+    """id -> (size of its set, component) by comparing all pairs of real shingle sets."""
+    sets = {}
+    for i, t in rows:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def families(seed: int, n: int, edits: float) -> list[str]:
+    """Texts in families: each copy of an original has some of its words replaced, and some are copies of copies."""
+    r = random.Random(seed)
+    word = lambda: r.choice("abcdefgh") + str(r.randrange(400))
+    out: list[str] = []
+    while len(out) < n:
+        base = [word() for _ in range(r.choice([3, 30, 120]))]
+        out.append(" ".join(base))
+        for _ in range(r.randrange(0, 14)):
+            origin = r.choice(out[-3:]).split() if r.random() < 0.4 else base
+            share = r.random() * edits
+            out.append(" ".join(word() if r.random() < share else w for w in origin))
+        if r.random() < 0.3:
+            out.append(out[-1])
+    r.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("seed, width", [(1, 4), (2, 5)])
+def test_components_equal_brute_force(docs, seed, width):
+    texts = [*families(seed, 260, 0.12), None, "", " \t\n", "One two", "one TWO", "É É É É É", "é é é é é", "a\x1cb c d", "a b c d " * 400]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs(texts), width=width).collect()}
+    assert got == brute(list(enumerate(texts)), width)
+
+
+def test_tables_of_the_scale(spark, sf):
+    d = common.documents(spark, sf)
+    rows = [(r["doc_id"], r["text"]) for r in d.collect()]
+    got = minhash.near_duplicates(d, width=4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 4)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_odd_rows(spark, docs):
+    t = "a b c d e f g h"
+    d = docs([(1, t, None, None), (1, t, None, None), (None, t, "x", "y"), (5, t, "x", "y"), (7, None, "x", "y")]).withColumnRenamed("lang", "rep").withColumnRenamed("source", "bands")
+    got = sorted(minhash.near_duplicates(d).collect(), key=str)
+    assert [(r["doc_id"], r["component_id"], r["kept"]) for r in sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"]))] == [(1, 1, True), (1, 1, True), (5, 1, False), (7, 7, True), (None, None, True)]
+    assert minhash.near_duplicates(docs([])).count() == 0
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(d, percent=10)
+
+
+def test_components_of_chains_and_hubs(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 180)] + [(300, 200), (200, 400), (400, 300), (7, 7)]
+    got = {r["node"]: r["component"] for r in minhash.components(common.Scratch(spark, "t"), spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 180)}, 200: 200, 300: 200, 400: 200}
