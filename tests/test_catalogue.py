@@ -80,7 +80,10 @@ def test_arguments(spark):
 
 
 def test_filters_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     q = records.query(records.orders(spark, SF), 0, 2**62, (3, 5))
+    ranged = catalogue.queries()["record_query"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts," in ranged and "LessThanOrEqual(ts," in ranged and "In(user_id" in ranged
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(o_custkey" in plan.replace("IsNotNull(o_custkey), ", "") or "In(o_custkey, [3,5])" in plan
 

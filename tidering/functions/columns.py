@@ -23,6 +23,16 @@ def micros(ts: str | Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), c.cast("timestamp_ntz"))
 
 
+def may_be_in(ts: str, begin: int, end: int) -> Column:
+    """Bounds in whole microseconds that hold for every timestamp of [begin, end) in nanoseconds.
+
+    A comparison of the bare column, which reaches the scan's row groups; the exact filter stays on top.
+    """
+    at = lambda us: F.expr(f"TIMESTAMPADD(MICROSECOND, {us}, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+    clamp = lambda us: max(-62_135_596_800_000_000, min(253_402_300_799_999_999, us))
+    return (F.col(ts) >= at(clamp(begin // 1000))) & (F.col(ts) <= at(clamp(-(-end // 1000))))
+
+
 def unsigned(bits: Column) -> Column:
     """A signed 64-bit pattern as the unsigned number it stands for."""
     d = bits.cast(U64)

@@ -38,6 +38,24 @@ def interpolated(at: Column, before: Column, after: Column) -> Column:
     return F.coalesce(before["trusted_ns"] + F.floor(whole).cast("long"), before["trusted_ns"], after["trusted_ns"])
 
 
+def clock_models(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """An affine model for each group of (local_ns, trusted_ns): trusted = origin_trusted_ns + rate * (local - origin_local_ns).
+
+    Fitted around the group's first pair, so that doubles keep their digits; n counts the
+    pairs. A group of one pair, or of one local time, has rate 1.
+    """
+    first = F.min(F.struct("local_ns", "trusted_ns"))
+    origin = pairs.groupBy(*by).agg(first.alias("_o"))
+    on = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    rel = pairs.join(origin.select(*(F.col(c).alias(f"_b_{c}") for c in by), "_o"), cond)
+    x, y = (F.col("local_ns") - F.col("_o.local_ns")).cast("double"), (F.col("trusted_ns") - F.col("_o.trusted_ns")).cast("double")
+    out = rel.withColumns({"_x": x, "_y": y}).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.first("_o.local_ns").alias("origin_local_ns"), F.first("_o.trusted_ns").alias("origin_trusted_ns"), F.regr_slope("_y", "_x").alias("_rate"))
+    return out.withColumn("rate", F.coalesce("_rate", F.lit(1.0))).drop("_rate")
+
+
 # The quality classes.
 QUALITIES = ("observed_trusted", "anchored", "extrapolated", "arrival_bounded", "order_only", "unrecoverable")
 

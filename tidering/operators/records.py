@@ -21,13 +21,18 @@ COLUMNS = ("ordinal", "index_time_ns", "selector", "flags", "payload", "time_dom
 LISTED_SELECTORS = 1000
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, within: tuple[int, int] | None = None) -> DataFrame:
+    """The events as records; within: a range outside which nothing will be asked for, so that the scan may skip it."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if within:
+        e = e.where(C.may_be_in("ts", *within))
     return e.select(F.col("event_id").alias("ordinal"), (C.micros("ts") * 1000).alias("index_time_ns"), F.col("user_id").alias("selector"), (F.col("event_type") == "error").cast("int").alias("flags"), F.col("props").cast("binary").alias("payload"), F.lit(1).cast("long").alias("time_domain_id"))
 
 
-def orders(spark: SparkSession, sf_dir: str, domain: Column | None = None) -> DataFrame:
+def orders(spark: SparkSession, sf_dir: str, domain: Column | None = None, within: tuple[int, int] | None = None) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    if within:
+        o = o.where(C.may_be_in("o_orderdate", *within))
     return o.select(F.col("o_orderkey").alias("ordinal"), (C.micros("o_orderdate") * 1000).alias("index_time_ns"), F.col("o_custkey").alias("selector"), F.lit(0).alias("flags"), F.col("o_orderpriority").cast("binary").alias("payload"), (F.lit(1) if domain is None else domain).cast("long").alias("time_domain_id"))
 
 

@@ -94,18 +94,18 @@ def record_scan(spark, d):
 
 @query(f"WITH {EV} SELECT {SHOWN} FROM ev WHERE index_time_ns >= {BEGIN} AND index_time_ns < {END}")
 def record_time_range(spark, d):
-    return shown(records.query(records.events(spark, d), BEGIN, END))
+    return shown(records.query(records.events(spark, d, (BEGIN, END)), BEGIN, END))
 
 
 @query(f"WITH {EV} SELECT {SHOWN} FROM ev WHERE time_domain_id = 1 AND index_time_ns >= {BEGIN} AND index_time_ns < {END} AND selector IN {SELECTORS}")
 def record_query(spark, d):
-    return records.in_order(shown(records.query(records.events(spark, d), BEGIN, END, SELECTORS)))
+    return records.in_order(shown(records.query(records.events(spark, d, (BEGIN, END)), BEGIN, END, SELECTORS)))
 
 
 @query(f"WITH {EV} SELECT {SHOWN} FROM ev WHERE index_time_ns >= {BEGIN} AND index_time_ns < {END} AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = selector AND c_acctbal > 0)")
 def record_selector_semi(spark, d):
     wanted = spark.read.parquet(f"{d}/customer.parquet").where("c_acctbal > 0").select(F.col("c_custkey").alias("selector"))
-    return shown(records.query(records.events(spark, d), BEGIN, END, wanted))
+    return shown(records.query(records.events(spark, d, (BEGIN, END)), BEGIN, END, wanted))
 
 
 @query(f"WITH {EV} SELECT {SHOWN} FROM ev WHERE flags & 1 <> 0")
@@ -462,6 +462,16 @@ def clock_interpolate(spark, d):
     return near.select("source", "ordinal", reconstruct.interpolated(F.col("ordinal"), b, a).alias("time_ns"), q.alias("quality"))
 
 
+@query(f"""
+WITH {EV}, e AS (SELECT selector % 10 AS source, index_time_ns, ordinal FROM ev), o AS (SELECT source, min(index_time_ns) AS t0 FROM e GROUP BY 1)
+SELECT source, count(*) AS n, t0 AS origin_local_ns, t0 + 500 AS origin_trusted_ns, round(regr_slope((2 * (index_time_ns - t0) + 0)::DOUBLE, (index_time_ns - t0)::DOUBLE), 6) AS rate FROM e JOIN o USING (source) GROUP BY source, t0""")
+def clock_model(spark, d):
+    e = records.events(spark, d).withColumn("source", F.col("selector") % 10)
+    least = e.groupBy("source").agg(F.min("index_time_ns").alias("t0"))
+    pairs = e.join(least, "source").select("source", F.col("index_time_ns").alias("local_ns"), (F.col("t0") + 500 + 2 * (F.col("index_time_ns") - F.col("t0"))).alias("trusted_ns"))
+    return reconstruct.clock_models(pairs, ["source"]).withColumn("rate", F.round("rate", 6))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
