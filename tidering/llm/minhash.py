@@ -150,8 +150,11 @@ def _full_sets(width: int):
 
 
 def _fetched(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(rep, shingles): the full sets of the given documents."""
-    return texts.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(width), "rep long, shingles binary").distinct()
+    """(rep, shingles): the full sets of the given documents.
+
+    The same plan at every size: the texts are exchanged by id, and no list of ids is broadcast.
+    """
+    return texts.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets(width), "rep long, shingles binary").distinct()
 
 
 def _linked(percent: int):
