@@ -322,8 +322,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     odds = F.log((F.col("a") + 0.5) / F.lit(n1 + 1)) - F.log((F.col("b") + 0.5) / F.lit(n0 + 1))
     low = odds - 2 * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     likely = by.withColumns({"odds": odds, "low": low}).where("string <> '' and low > 1").orderBy(F.desc("low"), F.col("string").endswith("*"), F.length("string").desc(), "string").limit(4 * LEXICON)
-    told = {r["string"]: r["low"] for r in likely.collect()}
-    names = list(told)
+    names = [r["string"] for r in likely.collect()]
     held = rows.select("text", "toxic").mapInArrow(_holding(names), "held array<int>, toxic int").collect()
     held.sort(key=lambda r: (r["toxic"], r["held"]))
     x = np.zeros((len(held), len(names)), np.float32)

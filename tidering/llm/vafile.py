@@ -33,10 +33,6 @@ SCALE, CELLS = 64.0, 32
 BLOCK, CANDIDATES, QUERIES = 1024, 8192, 2048
 
 
-def integers(vectors: list) -> np.ndarray:
-    return np.floor(SCALE * np.asarray(vectors, np.float64))
-
-
 def _pack(dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(block, n, ids, vectors): rows of (id, values) in blocks of BLOCK."""
@@ -139,7 +135,6 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     sound = F.col(id_col).isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = scratch.table(vectors.where(sound).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(v).alias("v")), "rows")
     total, asked, dims = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.max(F.size("v"))).first()
-    schema = "query_id long, rank int, vec_id long, score long"
     if not asked:
         return spark.range(0).selectExpr("id as query_id", "cast(id as int) as rank", "id as vec_id", "id as score")
     ddl = "block long, n long, ids binary, vectors binary"
@@ -160,4 +155,4 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     best = q.groupBy("x", "y").cogroup(c.groupBy("x", "y")).applyInArrow(_cell(dims, lo, hi, k, exact), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     out = scratch.table(best, "best").withColumn("rank", rank).where(F.col("rank") <= k)
-    return out.select(*(x.split()[0] for x in schema.split(", ")))
+    return out.select("query_id", "rank", "vec_id", "score")
