@@ -26,7 +26,8 @@ def nearest_anchors(records: DataFrame, anchors: DataFrame, stream: list[str]) -
     a = anchors.select(*stream, F.col("ordinal").alias("_ordinal"), F.struct(F.col("ordinal").alias("at"), F.col("trusted_ns")).alias("_anchor"), F.lit(0).alias("_kind")).withColumn("_row", F.lit(None).cast(r.schema["_row"].dataType))
     w = Window.partitionBy(*stream).orderBy("_ordinal", "_kind")
     before = F.last("_anchor", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_anchor", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy(*stream).orderBy(F.desc("_ordinal"), F.desc("_kind"))  # a frame that only grows, unlike one to the end
+    after = F.last("_anchor", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     both = r.unionByName(a).withColumns({"before": before, "after": after}).where("_kind = 1")
     return both.select("_row.*", "before", "after")
 
