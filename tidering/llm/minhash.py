@@ -150,11 +150,8 @@ def _full_sets(width: int):
 
 
 def _fetched(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(rep, shingles): the full sets of the given documents.
-
-    The same plan at every size: the texts are exchanged by id, and no list of ids is broadcast.
-    """
-    return texts.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets(width), "rep long, shingles binary").distinct()
+    """(rep, shingles): the full sets of the given documents."""
+    return texts.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(width), "rep long, shingles binary").distinct()
 
 
 def _linked(percent: int):
@@ -301,7 +298,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alike = (F.col("x.rep") == F.col("y.rep")) | _alike("x", "y", percent)
     rows = scratch.table(named.select("x.key", "x.rep", "x.n_shingles", "x.sig", F.col("y.rep").alias("pivot"), alike.alias("starred")), "rows")
     star = scratch.table(rows.where("starred and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "star")
-    full = [scratch.table(_fetched(texts, star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct(), width), "full")]
+    # the same plan at every size: the texts are exchanged by id, and this list of ids is never broadcast
+    wanted = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct().hint("merge")
+    full = [scratch.table(_fetched(texts, wanted, width), "full")]
 
     def with_sets(pairs: DataFrame) -> DataFrame:
         both = reduce(DataFrame.union, full)
