@@ -76,3 +76,22 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 180)] + [(300, 200), (200, 400), (400, 300), (7, 7)]
     got = {r["node"]: r["component"] for r in minhash.components(common.Scratch(spark, "t"), spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 180)}, 200: 200, 300: 200, 400: 200}
+
+
+def test_components_of_graphs(spark):
+    """Large-star leaves the first three as they are, though they hold nodes with two smaller neighbours; the others are random, side by side."""
+    r = random.Random(11)
+    graphs = [[(5, 1), (5, 2)], [(3, 1), (3, 2), (5, 1), (6, 2)], [(9, 1), (9, 2), (8, 2), (8, 3)]]
+    run = lambda edges: sorted((x["node"], x["component"]) for x in minhash.components(common.Scratch(spark, "graphs"), spark.createDataFrame(edges, "u long, v long")).collect())
+
+    def brute_components(edges):
+        root = {x: x for e in edges for x in e}
+        while any(root[a] != root[b] for a, b in edges):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return sorted(root.items())
+
+    graphs.append([(100 * g + r.randrange(n), 100 * g + r.randrange(n, 2 * n)) for g in range(1, 200) for n in [r.randint(1, 12)] for _ in range(r.randint(1, 2 * n))])
+    graphs.append([(n, n + 1) for n in range(40)])
+    for edges in graphs:
+        assert run(edges) == brute_components(edges)

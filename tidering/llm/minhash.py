@@ -240,7 +240,7 @@ def components(scratch: Scratch, edges: DataFrame, most: int = 60) -> DataFrame:
     """Components of the graph of edges (u, v): rows (node, component), the smallest node naming each.
 
     Alternating large-star and small-star until a large-star pass leaves the edges as
-    they are, which are then stars. Minima and edges are written between the passes, so
+    they are and no node has two smaller neighbours: only then are they stars. Minima and edges are written between the passes, so
     both sides of the joins are exchanged and a hub of any degree can be split. A node
     without edges has no row.
     """
@@ -253,7 +253,7 @@ def components(scratch: Scratch, edges: DataFrame, most: int = 60) -> DataFrame:
         large = scratch.table(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         scratch.drop(now, least)
         now = large
-        if (new := sign(large)) == last:
+        if sign(large) == last and large.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             break
         # a node's smaller neighbours are few after a large-star pass
         low = large.groupBy("u").agg(F.min("v").alias("m"))
