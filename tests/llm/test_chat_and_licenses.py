@@ -56,3 +56,22 @@ def test_documents(spark, docs):
     got = {r["doc_id"]: (r["n_paragraphs"], r["families"]) for r in licenses.documents_with_licenses(d).collect()}
     assert got == {1: (2, "CC-BY-NC,MIT"), 2: (0, ""), None: (1, "proprietary"), 4: (0, "")}
     assert licenses.documents_with_licenses(docs([])).count() == 0
+
+
+def test_wrapped_licences(spark, docs, classifier):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    lgpl = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+    marked = lambda mark, text: "\n".join(f"{mark}{x}" for x in text.split("\n"))
+    texts, want = [], []
+    for family, text in (("BSD", bsd), ("GPL", gpl), ("LGPL", lgpl), ("MIT", mit)):
+        for t in (text, marked("# ", text), marked("-- ", text), f"/*\n{marked(' * ', text)}\n */", text.replace("\n", "\r\n")):
+            texts.append(f"A title\n\n{t}\n\nand other words\nof the file")
+            want.append((1, family))
+    texts += [f"x\n *\n{marked(' * ', bsd)}\n *\n{marked(' * ', mit)}", "Released under the MIT License.\nSome words\n\nand more", "This is free\nof charge, and the public\nmay use the software"]
+    want += [(2, "BSD,MIT"), (1, "MIT"), (0, "")]
+    got = {r["doc_id"]: (r["n_paragraphs"], r["families"]) for r in licenses.documents_with_licenses(docs(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    rows = licenses.scan(docs(texts[:1]), classifier).where("confirmed").collect()
+    assert [(r["paragraph"], r["last"], r["family"]) for r in rows] == [(2, 4, "BSD")]

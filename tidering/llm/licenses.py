@@ -1,6 +1,8 @@
 """License scans by a trained paragraph classifier, in DataFrame operations only.
 
-Paragraphs (lines) become word n-grams of one to three words. A sparse multinomial
+Paragraphs become word n-grams of one to three words. They are the lines, and the runs of
+lines between blank ones, joined without their comment marks, since licences are
+wrapped; a joined paragraph adds nothing to a line of its own that has the same family. A sparse multinomial
 logistic regression over the n-grams of the licence templates, trained on the driver
 from the templates, their variants and ordinary sentences, gives each licence family
 and `unknown` a probability; a temperature and a least probability, calibrated on
@@ -22,7 +24,7 @@ import math
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -156,26 +158,50 @@ def logits(rows: DataFrame, keys: list[str], c: Classifier) -> DataFrame:
     return hits.groupBy(*keys).agg(F.array(*sums).alias("z"), F.collect_set("gram").alias("held"))
 
 
+#: What stands before the first word of a line.
+COMMENT_MARKS = r"(?dmi)^[^\p{L}\p{N}\n]+(?:(?:dnl|rem)[ \t]+)?|^(?:dnl|rem)[ \t]+"
+
+
+def _joined(lines: Column) -> Column:
+    """(paragraph, last, line): of the runs of two or more lines that aren't empty, the numbers of their first and last, and the lines as one."""
+    at = lambda i: F.coalesce(F.get(lines, i), F.lit(""))
+    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+    first = F.filter(numbers, lambda i: (at(i) != "") & (at(i - 1) == ""))
+    last = F.filter(numbers, lambda i: (at(i) != "") & (at(i + 1) == ""))
+    runs = F.filter(F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: r["a"] < r["b"])
+    return F.transform(runs, lambda r: F.struct(r["a"].alias("paragraph"), r["b"].alias("last"), F.array_join(F.slice(lines, r["a"] + 1, r["b"] - r["a"] + 1), " ").alias("line")))
+
+
 def paragraphs(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with paragraph (its number from 0) and line, one row for each paragraph that has a word."""
-    return docs.select(*(c for c in docs.columns if c != text_col), F.posexplode(F.split(F.col(text_col), r"\n")).alias("paragraph", "line"))
+    """docs with paragraph, last (the numbers of its first and last line, from 0) and line: one row for each line and each joined paragraph."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = F.transform(F.split(text, r"\n"), lambda x, i: F.struct(i.alias("paragraph"), i.alias("last"), x.alias("line")))
+    joined = F.transform(F.array(F.split(F.regexp_replace(text, COMMENT_MARKS, ""), r"\n")), _joined)[0]
+    return docs.select(*(c for c in docs.columns if c != text_col), F.inline(F.concat(lines, joined)))
 
 
 def scan(docs: DataFrame, classifier: Classifier | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph, family, probability, confirmed) of each paragraph that is classified as a licence."""
+    """(doc_id, paragraph, last, h, family, probability, confirmed) of each paragraph that is classified as a licence.
+
+    paragraph and last number its lines, h is its hash. A joined paragraph that holds a confirmed line of its family has no row.
+    """
     spark = docs.sparkSession
     c = classifier or train(spark)
-    lines = paragraphs(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    lines = lines.select("doc_id", "paragraph", F.xxhash64("line").alias("h"), words_of(F.col("line")).alias("w"))
+    lines = paragraphs(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")))
+    lines = lines.select("doc_id", "row", "paragraph", "last", F.xxhash64("line").alias("h"), words_of(F.col("line")).alias("w"))
     anchors = sorted({w for g in c.grams for w in g.split() if anchored(w)})
     lines = lines.where(F.arrays_overlap("w", F.array(*map(F.lit, anchors))))
-    z = logits(lines.select("doc_id", "paragraph", "h", grams_of(F.col("w")).alias("grams")), ["doc_id", "paragraph", "h"], c)
+    z = logits(lines.select("doc_id", "row", "paragraph", "last", "h", grams_of(F.col("w")).alias("grams")), ["doc_id", "row", "paragraph", "last", "h"], c)
     e = F.transform("z", lambda x: F.exp((x - F.array_max("z")) / c.temperature))
     p = z.withColumn("e", e).withColumn("p", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)))
     best = (F.array_position("p", F.array_max("p")) - 1).cast("int")
     p = p.withColumn("probability", F.array_max("p")).withColumn("family", F.element_at(F.array(*map(F.lit, c.families)), best + 1))
     found = p.where((F.col("family") != UNKNOWN) & (F.col("probability") >= c.least))
-    return found.select("doc_id", "paragraph", "family", "probability", _confirmed(spark, c).alias("confirmed"))
+    found = found.select("doc_id", "row", "paragraph", "last", "h", "family", "probability", _confirmed(spark, c).alias("confirmed"))
+    own = F.max(F.when(F.col("confirmed") & (F.col("paragraph") == F.col("last")), F.col("paragraph")))
+    upto = Window.partitionBy("doc_id", "row", "family").orderBy("last").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.withColumn("own", F.coalesce(own.over(upto), F.lit(-1))).where((F.col("paragraph") == F.col("last")) | (F.col("own") < F.col("paragraph")))
+    return found.drop("row", "own")
 
 
 def _confirmed(spark: SparkSession, c: Classifier) -> Column:
@@ -194,7 +220,7 @@ def documents_with_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     scratch = Scratch(docs.sparkSession, "licenses")
     found = scratch.table(scan(docs, None, id_col, text_col).where("confirmed"), "found")
-    by = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_paragraphs"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"))
+    by = found.groupBy("doc_id").agg(F.count_distinct("paragraph", "last", "h").alias("n_paragraphs"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"))
     ids = docs.select(F.col(id_col).alias("doc_id")).distinct()
     on = F.col("doc_id").eqNullSafe(F.col("found_id"))
     out = ids.join(by.withColumnRenamed("doc_id", "found_id"), on, "left")
