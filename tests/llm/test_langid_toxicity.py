@@ -101,3 +101,17 @@ def test_toxicity_of_odd_rows(spark, docs):
     got = toxicity.score_documents(d, none).collect()
     assert len(got) == 5 and len({r["score"] for r in got}) == 1 and {r["predicted"] for r in got} == {0}
     assert toxicity.score_documents(docs([]), none).count() == 0
+
+
+@pytest.mark.parametrize("times", [1, 8])
+def test_innocent_words_near_a_term_leave_its_misspellings(spark, docs, times):
+    words = "river stone cloud table light green sugar paper music metal".split()
+    said = lambda i, extra: (i, " ".join([*(words[(i * k + k) % 10] + str(i) for k in range(1, 7)), extra]), "en", "s")
+    n = 60 * times
+    rows = [said(i, "pathetic") for i in range(n)] + [said(n + i, "atheti" if i % 10 == 0 else "today") for i in range(n)]
+    labels = spark.createDataFrame([(i, int(i < n)) for i in range(2 * n)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(rows), labels)
+    find = toxicity.Matcher(model.terms, innocent=model.innocent).find
+    assert "pathetic" in model.terms and model.innocent == ["atheti"]
+    assert find("atheti") is None
+    assert find("pthetic") == find("paethetic") == ("pathetic", 1)

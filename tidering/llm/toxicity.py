@@ -42,8 +42,6 @@ EDIT_LENGTHS = (5, 8)
 STEMS = range(3, 9)
 #: Words to each side that decide whether a hit is quoted.
 WINDOW = 8
-#: Innocent rows of the sample that may hold a misspelling of a term before its edits are ruled out.
-MISREAD = 1
 KEPT_WORDS = 400_000
 
 # Letter substitutes, quotation marks and words of reporting.
@@ -61,8 +59,9 @@ def edits(term: str) -> int:
 class Matcher:
     """Finds the lexicon term nearest to a word, within the term's edits."""
 
-    def __init__(self, terms: Iterable[str], exact: Iterable[str] = ()):
-        """exact: terms that allow no edit."""
+    def __init__(self, terms: Iterable[str], exact: Iterable[str] = (), innocent: Iterable[str] = ()):
+        """exact: terms that allow no edit; innocent: words that are no misspelling of any term."""
+        self.innocent = frozenset(innocent)
         exact = set(exact)
         allowed = lambda term: 0 if term in exact else edits(term)
         self.children: list[dict[str, int]] = [{}]
@@ -144,6 +143,8 @@ class Matcher:
             stem = begun or stem
             begun = self.begun[state]
         whole = self.accepts[state] if state >= 0 else None
+        if whole and whole[1] and word in self.innocent:
+            whole = None
         return (stem, 0) if stem and (whole is None or whole[1]) else whole
 
     def find(self, token: str) -> tuple[str, int] | None:
@@ -162,6 +163,12 @@ class Matcher:
             return found
 
 
+    def misspellings(self, tokens: list[str]) -> set[str]:
+        """The words that are hits by edits only, and not quoted."""
+        near = [(i, _STRIP.sub("", t), h) for i, t in enumerate(tokens) if (h := self.find(t)) and h[1]]
+        return {w if self._run(w) == h else _STRIP.sub("", tokens[i].translate(SUBSTITUTES)) for i, w, h in near if not quoted(tokens, i)}
+
+
 def quoted(tokens: list[str], at: int) -> bool:
     """Whether the words around a hit speak for quotation: marks on both sides, or a mark and a word of reporting."""
     before, after = tokens[max(0, at - WINDOW) : at], tokens[at + 1 : at + 1 + WINDOW]
@@ -191,7 +198,7 @@ def features(text: str | None, matcher: Matcher, weights: dict[str, float]) -> l
 @dataclass
 class Model:
     terms: dict[str, float]  # with their weights
-    exact: list[str] = field(default_factory=list)  # those that allow no edit
+    innocent: list[str] = field(default_factory=list)  # words near to terms that are none of their misspellings
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
     def score(self, x: list[float]) -> float:
@@ -259,18 +266,18 @@ def _holding(wanted: list[str]):
 
 def _misread(weights: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The terms of which rows hold misspellings."""
-        find = Matcher(weights).find
+        """The misspellings of terms that rows hold, and the row's label."""
+        matcher = Matcher(weights)
         for b in batches:
-            found = [t for x in b.column(0) for t in {h[0] for h in map(find, (x.as_py() or "").lower().split()) if h and h[1]}]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["term"])
+            found = [(w, y) for x, y in zip(b.column(0), b.column(1).to_pylist(), strict=True) for w in matcher.misspellings((x.as_py() or "").lower().split())]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], names=["word", "toxic"])
 
     return run
 
 
-def _featured(weights: dict[str, float], exact: list[str]):
+def _featured(weights: dict[str, float], innocent: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(weights, exact)
+        matcher = Matcher(weights, innocent=innocent)
         for b in batches:
             x = [features(t.as_py(), matcher, weights) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "toxic"])
@@ -329,19 +336,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for i, r in enumerate(held):
         x[i, r["held"]] = 1
     terms = lexicon(names, sparse_weights(x, np.array([r["toxic"] for r in held], np.float32), PENALTY)) if names else {}
-    # a term near to words of innocent rows allows no edit
-    near = rows.where("toxic = 0").select("text").mapInArrow(_misread(terms), "term string").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    exact = sorted(r["term"] for r in near.where(F.col("n") > MISREAD).collect())
-    got = rows.select("text", "toxic").mapInArrow(_featured(terms, exact), "x array<double>, toxic int").collect()
+    # words near to terms that innocent rows hold as often as toxic ones, by shares of the sample, are no misspellings
+    near = rows.select("text", "toxic").mapInArrow(_misread(terms), "word string, toxic int").groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
+    sampled = {y: sum(r["toxic"] == y for r in held) for y in (0, 1)}
+    innocent = sorted(r["word"] for r in near.where(F.col("b") * sampled[1] >= F.col("a") * sampled[0]).where("b > 0").collect())
+    got = rows.select("text", "toxic").mapInArrow(_featured(terms, innocent), "x array<double>, toxic int").collect()
     scratch.drop(rows, by)
     x, y = np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["toxic"] for r in got])
     order = np.lexsort([y, *x.T])
-    return Model(terms, exact, fit_weights(x[order], y[order]))
+    return Model(terms, innocent, fit_weights(x[order], y[order]))
 
 
 def _scored(model: Model, n_kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.terms, model.exact)
+        matcher = Matcher(model.terms, innocent=model.innocent)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
