@@ -89,3 +89,19 @@ def test_table(spark, docs, sf):
         assert [by[r["doc_id"]][f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in want) for k in pii.KINDS]
     assert pii.spans(docs([])).count() == 0
     assert [r["text"] for r in pii.redacted(docs(["to a@b.cd now", None, "10.0.0.1", ""])).orderBy("doc_id").collect()] == ["to <EMAIL> now", None, "<IP>", ""]
+
+
+def test_windows_miss_no_span_of_the_whole_text():
+    """The spans found in windows are those of the CRF over all tokens."""
+    crf = pii.trained()
+    r = random.Random(5)
+    lines = [t for t, _ in pii.synthetic_lines(120, 21)]
+    filler = lambda: " ".join(r.choice(["so", "we", "met", "at", "home.", "then", "it", "is", "3", "(", "dot"]) for _ in range(r.choice([0, 1, 5, 40])))
+    texts = [f"{filler()} {r.choice(lines)} {filler()}\n{r.choice(lines)}  {filler()}".strip() for _ in range(200)]
+    texts += ["host 8[.]8[.]8[.]8 is up", "ip 1 . 1 . 1 . 1", "host 10 . 0 . 0 . 1 now", "10 . 0 . 0 . 1 is the host", "server  10  .  0  .  0  .  1  there", "mail  jo  at  home  dot  com  now"]
+    for text in texts:
+        base = pii.base_spans(text)
+        tokens = pii.tokens_of(text)
+        whole = [(k, tokens[i][1], tokens[j - 1][2]) for i, j, k in crf.best(text, tokens)]
+        assert pii.added_spans(text, base, crf) == [(k, s, e) for k, s, e in whole if not any(a < e and s < b for _, a, b in base)], text
+    assert all(any(k == "ip" for k, _, _ in pii.find(t, crf)[1]) for t in texts[-6:-2])

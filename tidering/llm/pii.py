@@ -5,7 +5,7 @@ phone numbers), leftmost and non-overlapping within their kind, that pass the ki
 check; a failing match is dropped without another try. The matchers below give the
 same matches in linear time, whatever the text.
 
-Around digits, @ signs and spelled-out addresses, a semi-Markov CRF segments the tokens:
+Around digits, @ signs and words for it, with all tokens that a span through them could hold, a semi-Markov CRF segments the tokens:
 a candidate is a whole span of up to MOST_TOKENS tokens, scored by features of the span
 (separators, grouping of the digits, checksums, spelled-out signs, the words before),
 and dynamic programming over spans of bounded length finds the best boundaries and
@@ -21,6 +21,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 14
-#: Tokens to each side of an anchor that its window takes in.
-CONTEXT = 6
+#: Tokens before a span that its features read.
+CONTEXT = 4
 Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -97,7 +98,7 @@ CUES = {
     "phone": frozenset("phone tel telephone call mobile cell fax ring telefon teléfono".split()),
 }
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
-_ANCHOR = re.compile(r"[0-9]{2}|@|[\[({]\s?(?:at|arroba)\s?[\])}]|\s(?:dot|punkt|punto)\s", re.I)
+_ANCHOR = re.compile(r"[0-9]|@|at|arroba|chez", re.I)
 _SEPARATORS = frozenset(".-()/+ []")
 
 Token = tuple[str, int, int]
@@ -115,7 +116,7 @@ def _addressed(words: list[str]) -> bool:
 def span_features(text: str, tokens: list[Token], i: int, j: int, lower: list[str]) -> dict[str, list[str]]:
     """Of the span of tokens i to j (exclusive): features by kind; empty if it can be no entity."""
     span = tokens[i:j]
-    before = lower[max(0, i - 4) : i]
+    before = lower[max(0, i - CONTEXT) : i]
     near = {k: any(w in cues for w in before) for k, cues in CUES.items()}
     out: dict[str, list[str]] = {}
     if span[0][0][0].isdigit() or span[0][0] in "+(":
@@ -159,11 +160,21 @@ class SemiCrf:
     def lattice(self, text: str, tokens: list[Token]) -> list[list[tuple[int, str, list[str]]]]:
         """Of each start, the candidate spans (end, kind, features)."""
         lower = [t.lower() for t, _, _ in tokens]
-        out = []
+        signs = [k for k, t in enumerate(lower) if t == "@" or t in AT] + [len(tokens)] * 2
+        out, sign = [], 0
         for i in range(len(tokens)):
             here = []
-            if tokens[i][0][0].isalnum() or tokens[i][0] in "+(":
-                for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
+            while signs[sign] < i:
+                sign += 1
+            most = min(len(tokens), i + MOST_TOKENS)
+            if tokens[i][0][0].isdigit() or tokens[i][0] in "+(":
+                ends = range(i + 1, next((j for j in range(i + 1, most) if not (tokens[j][0][0].isdigit() or tokens[j][0] in _SEPARATORS)), most) + 1)
+            elif tokens[i][0][0].isalnum() and signs[sign] > i:
+                ends = range(signs[sign] + 2, min(most, signs[sign + 1]) + 1)  # an address has one sign, within
+            else:
+                ends = range(0)
+            if ends:
+                for j in ends:
                     for kind, fs in span_features(text, tokens, i, j, lower).items():
                         here.append((j, kind, [f"{kind} {f}" for f in ("bias", *fs)]))
             out.append(here)
@@ -268,48 +279,49 @@ def trained() -> SemiCrf:
 
 
 def windows(text: str) -> Iterator[list[Token]]:
-    """Runs of tokens around anchors; windows that meet are one."""
-    anchors = [m.start() for m in _ANCHOR.finditer(text)]
-    if not anchors:
+    """Runs of tokens that hold all candidates and what their features read; windows that meet are one.
+
+    A candidate holds digits, or an @ or word for it with a dot or word for it near.
+    """
+    if not _ANCHOR.search(text):
         return
-    groups: list[list[int]] = []
-    for a in anchors:
-        lo, hi = _reach(text, a, -1), _reach(text, a, 1)
-        if groups and lo <= groups[-1][1]:
-            groups[-1][1] = max(groups[-1][1], hi)
-        else:
-            groups.append([lo, hi])
-    for lo, hi in groups:
-        tokens = tokens_of(text, lo, hi)
-        if tokens:
-            yield tokens
-
-
-def _reach(text: str, at: int, way: int) -> int:
-    """The place CONTEXT white-space gaps away, at most 160 characters off and not within a word."""
-    gaps, i, most = 0, at, 160
-    while 0 < i < len(text) and most:
-        i += way
-        most -= 1
-        if i < len(text) and text[i].isspace():
-            gaps += 1
-            if gaps == CONTEXT:
-                break
-    while way < 0 and 0 < i and text[i - 1].isalnum() and most == 0 and at - i < 400:
-        i -= 1
-    return max(0, min(len(text), i))
+    tokens = tokens_of(text)
+    lo = hi = 0
+    dots = [k for k, (t, _, _) in enumerate(tokens) if t == "." or t.lower() in DOT]
+    for k, (t, _, _) in enumerate(tokens):
+        if not "0" <= t[0] <= "9":
+            if t != "@" and t.lower() not in AT:
+                continue
+            dot = bisect_left(dots, k - MOST_TOKENS)
+            if dot == len(dots) or dots[dot] > k + MOST_TOKENS:
+                continue
+        a, b = max(0, k - MOST_TOKENS - CONTEXT), min(len(tokens), k + MOST_TOKENS + 1)
+        if a > hi:
+            if hi:
+                yield tokens[lo:hi]
+            lo = a
+        hi = b
+    if hi:
+        yield tokens[lo:hi]
 
 
 def added_spans(text: str, base: list[Span], crf: SemiCrf) -> list[Span]:
     """The CRF's spans that meet no base span."""
-    taken = sorted((a, b) for _, a, b in base)
+    taken: list[list[int]] = []  # merged
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    ends = [b for _, b in taken]
+    meets = lambda s, e: (k := bisect_right(ends, s)) < len(taken) and taken[k][0] < e
     out = []
     for tokens in windows(text):
-        if all(any(a <= s and e <= b for a, b in taken) for t, s, e in tokens if t[0].isdigit() or t == "@") and not any(t.lower() in AT | DOT for t, _, _ in tokens):
+        if all(meets(s, e) for t, s, e in tokens if t[0].isdigit() or t == "@") and not any(t.lower() in AT | DOT for t, _, _ in tokens):
             continue  # the base spans explain all that could be found
         for i, j, kind in crf.best(text, tokens):
             s, e = tokens[i][1], tokens[j - 1][2]
-            if not any(a < e and s < b for a, b in taken):
+            if not meets(s, e):
                 out.append((kind, s, e))
     return out
 
