@@ -68,6 +68,27 @@ def test_odd_rows(spark, docs):
     got = sorted(minhash.near_duplicates(d).collect(), key=str)
     assert [(r["doc_id"], r["component_id"], r["kept"]) for r in sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"]))] == [(1, 1, True), (1, 1, True), (5, 1, False), (7, 7, True), (None, None, True)]
     assert minhash.near_duplicates(docs([])).count() == 0
+
+
+def test_ids_that_repeat_with_other_texts(docs):
+    """Rows are documents: text C of ids 2 and 3 keeps a row though id 2 also has a copy of id 1's text."""
+    a, c, e = "a b c d e f g h i j k l m n o p", "q r s t u v w x y z 1 2 3 4 5 6", "z y x w v u t s r q p o n m l k"
+    rows = [(1, a, None, None), (2, a, None, None), (2, c, None, None), (3, c, None, None), (2, e, None, None), (2, e + " j", None, None)]
+    got = minhash.near_duplicates(docs(rows)).collect()
+    by = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got)
+    assert by == [(1, 12, 1, True), (2, 12, 1, False), (2, 12, 2, True), (2, 12, 2, True), (2, 13, 2, True), (3, 12, 2, False)]
+    assert sum(r["first"] for r in got) == 3  # one row for each of the three groups
+
+
+def test_buckets_are_cut_into_parts(docs, monkeypatch):
+    monkeypatch.setattr(minhash, "BUCKET_ROWS", 3)
+    texts = families(5, 200, 0.3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs(texts), width=4).collect()}
+    assert got == brute(list(enumerate(texts)), 4)
+
+
+def test_percent_is_bounded(docs):
+    d = docs([(1, "a", None, None)])
     with pytest.raises(ValueError):
         minhash.near_duplicates(d, percent=10)
 

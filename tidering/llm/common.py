@@ -16,11 +16,13 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, a temporary one on a local master only."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="tidering-")
     return _own_dir
@@ -67,6 +69,12 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS, F.lit(0))
 
 
+def disjoint(keep: list[str], made: list[str]) -> None:
+    """An error if a kept column has the name of one that the operator makes."""
+    if both := sorted({k.lower() for k in keep} & {m.lower() for m in made}):
+        raise ValueError(f"kept columns clash with the result's: {', '.join(both)}")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -12,8 +12,12 @@ narrow down to few. The result is
 the components of the graph of all verified pairs that share a bucket; a pair at the
 threshold shares none with probability under 1e-7.
 
-Nulls and ties: a null or empty text has an empty set and no links. Rows of one doc_id
-are one document. A row without doc_id is returned, kept, with a null component.
+A null or empty text has an empty set and no links. A row is a document of its own: rows
+that repeat an id with another text are in the component of their own text, which is
+named by its smallest id, so that no text is in a component that doesn't resemble it.
+Rows that are equal throughout are returned as often as they occur. A row without doc_id
+is returned, kept, with a null component. Texts of any length are hashed whole; an empty
+table gives an empty result; other columns of the table are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, in_order, running_sum
 
 #: Four minima a band: 32 bands miss a pair of similarity 0.8 with probability 4.8e-8.
 BANDS, ROWS = 32, 4
@@ -105,14 +109,19 @@ def _packed(m: np.ndarray) -> np.ndarray:
 
 
 _SIG = MINIMA // 16
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
-_SIGNED_DDL = "doc_id long, n_shingles long, set_id binary, bands array<long>, sig array<long>"
+#: Rows of a bucket that one task compares with as many others.
+BUCKET_ROWS = 2000
+#: Bytes of sets that are put into one Arrow batch, or compared from one, besides a single pair's.
+SET_BYTES = 16 << 20
+
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
+_SIGNED_DDL = "doc_id long, h long, n_shingles long, set_id binary, bands array<long>, sig array<long>"
 
 
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, hashes, texts = batch.columns
             start, done = 0, 0
             sets: list[np.ndarray] = []
             for i in range(batch.num_rows):
@@ -120,13 +129,13 @@ def _sign(width: int):
                 sets.append(s)
                 done += len(s)
                 if done >= CHUNK_WORDS or i == batch.num_rows - 1:
-                    yield _signed(ids.slice(start, len(sets)), sets)
+                    yield _signed(ids.slice(start, len(sets)), hashes.slice(start, len(sets)), sets)
                     start, done, sets = i + 1, 0, []
 
     return run
 
 
-def _signed(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+def _signed(ids: pa.Array, hashes: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
     full = [i for i, s in enumerate(sets) if len(s)]
     n = len(sets)
     bands, sig = np.zeros((n, BANDS), np.int64), np.zeros((n, _SIG), np.int64)
@@ -135,23 +144,32 @@ def _signed(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         bands[full], sig[full] = _bands(m), _packed(m)
     lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
     digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-    return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists(bands), lists(sig)], schema=_SIGNED)
+    return pa.RecordBatch.from_arrays([ids, hashes, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists(bands), lists(sig)], schema=_SIGNED)
 
 
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, shingles) of rows (node, text), in batches of bounded size."""
+        made = lambda nodes, sets: pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "shingles"])
         for batch in batches:
-            for part in range(0, batch.num_rows, 500):
-                b = batch.slice(part, 500)
-                found = [shingle_set(words(x.as_py()), width).tobytes() for x in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["rep", "shingles"])
+            nodes, sets, size = [], [], 0
+            for node, text in zip(*batch.columns, strict=True):
+                nodes.append(node.as_py())
+                sets.append(shingle_set(words(text.as_py()), width).tobytes())
+                size += len(sets[-1])
+                if size >= SET_BYTES:
+                    yield made(nodes, sets)
+                    nodes, sets, size = [], [], 0
+            if nodes:
+                yield made(nodes, sets)
 
     return run
 
 
-def _fetched(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(rep, shingles): the full sets of the given documents."""
-    return texts.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(width), "rep long, shingles binary").distinct()
+def _fetched(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(rep, shingles): the full sets of the wanted nodes (node, doc_id, h), one row each though texts repeat rows."""
+    rows = texts.join(wanted, ["doc_id", "h"]).select("node", "text").dropDuplicates(["node"])
+    return rows.mapInArrow(_full_sets(width), "rep long, shingles binary")
 
 
 def _linked(percent: int):
@@ -236,18 +254,51 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (reduce(lambda p, q: p + q, unequal) <= most)
 
 
-def components(scratch: Scratch, edges: DataFrame, most: int = 60) -> DataFrame:
+def _numbered(scratch: Scratch, sets: DataFrame) -> DataFrame:
+    """sets (set_id, doc_id, h) with rep, a number of its own: doc_id, but for further sets of one id, which get numbers that no id has."""
+    least = sets.groupBy("doc_id").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most"))
+    lo, hi, several = least.agg(F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("least") != F.col("most"))).first()
+    if not several:
+        return sets.withColumn("rep", F.col("doc_id"))
+    further = scratch.table(sets.join(least.where("least <> most"), "doc_id").where("set_id <> least").select("set_id", F.lit(1).alias("one")), "further")
+    order = [F.col("set_id").asc()]
+    further = running_sum(in_order(scratch, further, order, "numbers"), order, "one", "n")
+    free = F.lit(hi) + F.col("n") if hi < 1 << 62 else F.lit(lo) - F.col("n")
+    return sets.join(further.select("set_id", free.alias("_rep")), "set_id", "left").withColumn("rep", F.coalesce("_rep", "doc_id")).drop("_rep")
+
+
+def _split_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's rows that are alike, in different components, and not both like their pivot.
+
+    A bucket is cut into parts of BUCKET_ROWS rows on average, and each pair of parts is a
+    key of its own, so that no task has all rows of a large bucket. Rows meet only where
+    one of them isn't like the pivot.
+    """
+    parts = live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).cast("int").alias("parts"))
+    cut = live.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    some = ["key", "rep", "n_shingles", "sig", "starred", "c", "part"]
+    x = cut.where("not starred").select(*some, every.alias("other")).alias("x")
+    y = cut.select(*some, every.alias("other")).alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.other")) & (F.col("x.other") == F.col("y.part"))
+    once = F.when(F.col("y.starred"), F.col("x.c") != F.col("y.c")).otherwise(F.col("x.c") < F.col("y.c"))
+    met = x.join(y, same & once & _alike("x", "y", percent))
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+
+
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Components of the graph of edges (u, v): rows (node, component), the smallest node naming each.
 
     Alternating large-star and small-star until a large-star pass leaves the edges as
     they are and no node has two smaller neighbours: only then are they stars. Minima and edges are written between the passes, so
-    both sides of the joins are exchanged and a hub of any degree can be split. A node
-    without edges has no row.
+    both sides of the joins are exchanged and a hub of any degree can be split. Every pair
+    of passes takes edges to smaller nodes or ends, so no limit on their number is needed.
+    A node without edges has no row.
     """
     sign = lambda t: t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     now = scratch.table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     last = sign(now)
-    for _ in range(most):
+    while True:
         both = now.union(now.select("v", "u"))
         least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = scratch.table(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
@@ -261,15 +312,15 @@ def components(scratch: Scratch, edges: DataFrame, most: int = 60) -> DataFrame:
         now = scratch.table(small.distinct(), "edges")
         scratch.drop(large)
         last = sign(now)
-    else:
-        raise RuntimeError(f"components did not settle in {most} passes")
     stars = now.groupBy("v").agg(F.count(F.lit(1))).select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs; kept marks the smallest id of each component.
+    """(doc_id, n_shingles, component_id, kept, text_hash, first) for each row of docs.
 
+    kept marks the smallest id of each component, first the text of its smallest row (by
+    id and text_hash, xxhash64 of the text), which is one row unless equal rows repeat.
     Documents are linked if 100 * |intersection| >= percent * |union| of their shingle
     sets. See the module's text for nulls, ties and repeated rows. percent is 70 at least.
     """
@@ -277,14 +328,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("percent must be from 70 to 100")
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("binary")).alias("h"), F.col(text_col).cast("binary").alias("text"))
     signed = scratch.table(texts.mapInArrow(_sign(width), _SIGNED_DDL), "signed")
 
+    # a node for each distinct set, that of its smallest row
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    sets = scratch.table(some.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "sets")
-    # a doc_id with several texts stands for all of them: the rows of one id are one document
-    reps = some.join(sets.withColumnRenamed("set_id", "s"), (F.col("doc_id") == F.col("rep")) & (F.col("set_id") == F.col("s"))).select("rep", "n_shingles", "sig", "bands")
-    reps = scratch.table(reps.dropDuplicates(["rep", "n_shingles", "sig"]), "reps")
+    first = F.min(F.struct("doc_id", "h"))
+    sets = scratch.table(some.groupBy("set_id").agg(first.alias("f")).select("set_id", "f.*"), "sets")
+    nodes = scratch.table(_numbered(scratch, sets), "nodes")  # set_id, doc_id, h, rep
+    reps = some.join(nodes.select("set_id", "doc_id", "h", "rep"), ["set_id", "doc_id", "h"]).select("rep", "n_shingles", "sig", "bands")
+    reps = scratch.table(reps.dropDuplicates(["rep"]), "reps")
 
     rows = reps.select("rep", F.explode("bands").alias("key"))
     sizes = scratch.table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
@@ -299,7 +352,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = scratch.table(named.select("x.key", "x.rep", "x.n_shingles", "x.sig", F.col("y.rep").alias("pivot"), alike.alias("starred")), "rows")
     star = scratch.table(rows.where("starred and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "star")
     # the same plan at every size: the texts are exchanged by id, and this list of ids is never broadcast
-    wanted = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct().hint("merge")
+    rows_of = nodes.select(F.col("rep").alias("node"), "doc_id", "h")
+    wanted = star.select(F.col("a").alias("node")).union(star.select("b")).distinct().join(rows_of, "node").hint("merge")
     full = [scratch.table(_fetched(texts, wanted, width), "full")]
 
     def with_sets(pairs: DataFrame) -> DataFrame:
@@ -322,20 +376,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = scratch.table(labelled(rows, "rep", "c"), "live")
     split = live.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.bool_and("starred").alias("all")).where("lo <> hi and not all").select("key")
     live = scratch.table(live.join(split, "key"), "live")
-    others = live.alias("x").join(live.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & ~(F.col("x.starred") & F.col("y.starred")) & _alike("x", "y", percent))
-    pairs = pairs.union(others.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))).distinct()
+    others = _split_pairs(live, percent)
+    pairs = pairs.union(others).distinct()
     pairs = scratch.table(pairs, "pairs")
-    lacking = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(full[0].select("rep"), "rep", "left_anti").withColumnRenamed("rep", "doc_id")
-    lacking = scratch.table(lacking, "lacking")
+    lacking = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(full[0].select("rep"), "rep", "left_anti").withColumnRenamed("rep", "node")
+    lacking = scratch.table(lacking.join(rows_of, "node"), "lacking")
     if not lacking.isEmpty():
         full.append(scratch.table(_fetched(texts, lacking, width), "full"))
     more = scratch.table(with_sets(pairs).select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "u long, v long"), "links")
     if not more.isEmpty():
         comp = scratch.table(components(scratch, links.union(more)), "comp")
 
-    members = labelled(sets, "rep", "component_id").select("set_id", "component_id")
-    members = scratch.table(members, "members")
-    scratch.drop(*full, deltas, live, rows, reps, star, pivots, pairs)
-    out = signed.select("doc_id", "n_shingles", "set_id").join(members, "set_id", "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # a component's name is its smallest id, and the first of its rows stands for it
+    members = scratch.table(labelled(nodes, "rep", "c"), "members")
+    named = members.groupBy("c").agg(F.min(F.struct("doc_id", "h")).alias("f"))
+    named = scratch.table(named.select("c", F.col("f.doc_id").alias("component_id"), F.col("f.h").alias("first_h")), "named")
+    members = scratch.table(members.select("set_id", "c").join(named, "c").select("set_id", "component_id", "first_h"), "classes")
+    scratch.drop(*full, deltas, live, rows, reps, star, pivots, pairs, sets, nodes, comp, sizes, more, lacking, named)
+    out = signed.select("doc_id", "h", "n_shingles", "set_id").join(members, "set_id", "left")
+    within = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(within, F.col("component_id")).otherwise(F.col("doc_id"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), F.col("h").alias("text_hash"), (~within | (kept & (F.col("h") == F.col("first_h")))).alias("first"))

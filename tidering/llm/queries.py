@@ -12,7 +12,7 @@ from .common import documents
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
+    return minhash.near_duplicates(documents(spark, sf_dir), width=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,23 +75,23 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
 
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents
 ), s AS (
-  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
     ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS ss
   FROM w
-), n AS (SELECT doc_id, len(ss) AS n_shingles FROM s),
-e AS (SELECT doc_id, unnest(ss) AS g FROM s),
+), n AS (SELECT r, doc_id, len(ss) AS n_shingles FROM s),
+e AS (SELECT r, unnest(ss) AS g FROM s),
 p AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+  SELECT a.r AS a, b.r AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2
 ), l AS (
-  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b
   WHERE 100 * c >= 80 * (x.n_shingles + y.n_shingles - c)
-), r AS (
-  SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
-), k AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
-SELECT doc_id, n_shingles::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept FROM n JOIN k USING (doc_id)
+), t AS (
+  SELECT r AS a, r AS b FROM n UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a
+), k AS (SELECT t.a AS r, min(n.doc_id) AS component_id FROM t JOIN n ON n.r = t.b GROUP BY t.a)
+SELECT doc_id, n_shingles::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept FROM n JOIN k USING (r)
 """
 
 
