@@ -5,14 +5,22 @@ phone numbers), leftmost and non-overlapping within their kind, that pass the ki
 check; a failing match is dropped without another try. The matchers below give the
 same matches in linear time, whatever the text.
 
-Around digits, @ signs and words for it, with all tokens that a span through them could hold, a semi-Markov CRF segments the tokens:
-a candidate is a whole span of up to MOST_TOKENS tokens, scored by features of the span
-(separators, grouping of the digits, checksums, spelled-out signs, the words before),
-and dynamic programming over spans of bounded length finds the best boundaries and
-kinds together. Its spans that meet no base span are added. It is trained when first
-used in a process, from seeded synthetic lines, by conditional likelihood.
-
-Null texts count as empty: no spans. Offsets are in code points, ends exclusive.
+Around digits, @ signs and words for it, with all tokens that a span through them could
+hold, a semi-Markov CRF segments the tokens. Segments are single tokens outside, or
+spans of up to MOST_TOKENS tokens of one of KINDS, among them secrets (keys, tokens,
+passwords), which have no base pattern. A segment is scored by features of the whole
+span (separators, grouping of the digits, checksums, spelled-out signs, classes of
+letters, the words before) and by the transition from the segment before it: its kind,
+or that it is outside and the kind of the last span seen. Dynamic programming over spans
+of bounded length finds the best boundaries and kinds together. The spans that meet no
+base span are added. The weights are trained by conditional likelihood on seeded
+synthetic lines, on the driver when a query is planned, and go along with the tasks.
+
+Null and empty texts have no spans. Every row is handled by itself, so rows that repeat
+repeat their result; an empty table gives an empty result. Texts of any length are
+searched whole, in time linear in their tokens. Kept columns with the name of a result
+column are an error; others may have any name. Offsets are in code points, ends
+exclusive; spans are ordered by start, then kind as in KINDS, then end.
 """
 
 from __future__ import annotations
@@ -30,10 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
-MOST_TOKENS = 14
+from .common import disjoint
+
+#: Kinds with a base pattern, and all of them.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+#: The most tokens of a span: sixteen digits apart take that many.
+MOST_TOKENS = 16
 #: Tokens before a span that its features read.
 CONTEXT = 4
+#: Tokens outside after which a span is forgotten; no more than CONTEXT, so that windows see what the whole text would.
+NEAR = 3
 Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -96,9 +111,12 @@ CUES = {
     "ip": frozenset("ip host server address node".split()),
     "card": frozenset("card visa mastercard amex credit carte karte tarjeta".split()),
     "phone": frozenset("phone tel telephone call mobile cell fax ring telefon teléfono".split()),
+    "secret": frozenset("token secret password passwd pwd key apikey auth bearer credential credentials passwort contraseña".split()),
 }
-_TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
-_ANCHOR = re.compile(r"[0-9]|@|at|arroba|chez", re.I)
+#: Letters and digits mixed, from so many on, are one token: keys and hashes.
+BLOB = 12
+_TOKEN = re.compile(r"(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{%d,}|[0-9]+|[^\W\d_]+|[^\s]" % BLOB)
+_ANCHOR = re.compile(r"[0-9]|@|(?<![^\W\d_])(?:at|arroba|chez)(?![^\W\d_])", re.I)
 _SEPARATORS = frozenset(".-()/+ []")
 
 Token = tuple[str, int, int]
@@ -106,20 +124,37 @@ Token = tuple[str, int, int]
 
 def _numeric(tokens: list[Token]) -> bool:
     first, last = tokens[0][0], tokens[-1][0]
-    return (first[0].isdigit() or first in "+(") and last[0].isdigit() and all(t[0].isdigit() or t in _SEPARATORS for t, _, _ in tokens)
+    return (first.isdigit() or first in "+(") and last.isdigit() and all(t.isdigit() or t in _SEPARATORS for t, _, _ in tokens)
 
 
 def _addressed(words: list[str]) -> bool:
+    if not all(w.isalnum() or w in "._%+-@()[]{}" for w in words):
+        return False
     return words[0][0].isalnum() and words[-1].isalpha() and len(words) >= 5 and ("@" in words or any(w in AT for w in words[1:-1])) and ("." in words or any(w in DOT for w in words[1:-1]))
 
 
+def _blob(t: str) -> bool:
+    return len(t) >= BLOB and t.isascii() and t.isalnum() and not t.isdigit() and not t.isalpha()
+
+
+def _secret(span: list[Token], before: list[str], cue: bool) -> list[str]:
+    """Features of a run of letters and digits as a secret."""
+    raw = "".join(t for t, _, _ in span)
+    size = len(raw)
+    letters = [c for c in raw if c.isalpha()]
+    near = [t for t in before if t not in "\"'`"]
+    kind = "hex" if all(c in "0123456789abcdefABCDEF" for c in raw) else "wide"
+    case = "lower" if all(c.islower() for c in letters) else "upper" if all(c.isupper() for c in letters) else "both"
+    return [f"size:{min(size // 8, 8)}", f"{kind} {case}", "assigned" if near and near[-1] in "=:" else "bare", "quoted" if before and before[-1] in "\"'`" else "plain", "cue" if cue else "no_cue", f"tokens:{min(len(span), 4)}"]
+
+
 def span_features(text: str, tokens: list[Token], i: int, j: int, lower: list[str]) -> dict[str, list[str]]:
     """Of the span of tokens i to j (exclusive): features by kind; empty if it can be no entity."""
     span = tokens[i:j]
     before = lower[max(0, i - CONTEXT) : i]
     near = {k: any(w in cues for w in before) for k, cues in CUES.items()}
     out: dict[str, list[str]] = {}
-    if span[0][0][0].isdigit() or span[0][0] in "+(":
+    if span[0][0].isdigit() or span[0][0] in "+(":
         if not _numeric(span):
             return {}
         raw = text[span[0][1] : span[-1][2]]
@@ -136,89 +171,169 @@ def span_features(text: str, tokens: list[Token], i: int, j: int, lower: list[st
         if 7 <= len(d) <= 15:
             out["phone"] = [f"digits:{len(d)}", f"shape:{shape}" if len(groups) < 6 else "shape:many", f"gaps:{gaps}", "plus" if raw[0] == "+" else "bare", "cue" if near["phone"] else "no_cue"]
         return out
+    if span[-1][2] - span[0][1] == sum(len(t) for t, _, _ in span) and any(_blob(t) for t, _, _ in span) and all(t.isalnum() or t in "-_" for t, _, _ in span) and span[-1][0].isalnum():
+        out["secret"] = _secret(span, before, near["secret"])
     words = lower[i:j]
     if not _addressed(words):
-        return {}
+        return out
     signs = [k for k, w in enumerate(words) if w == "@" or w in AT]
     if len(signs) != 1:
-        return {}
+        return out
     k = signs[0]
     spelled = words[k] != "@"
     held = k + 1 < len(words) and k and words[k - 1] in "[({" and words[k + 1] in "])}"
     rest = [w for w in words[k + 1 :] if w not in "[](){}"]
+    tight = all(tokens[i + q][1] == tokens[i + q - 1][2] and tokens[i + q][2] == tokens[i + q + 1][1] for q in range(k + 1, len(words) - 1) if words[q] == ".")
     host = all(w.isalnum() or w in ".-" for w in rest) and (rest[-2] in DOT or rest[-2] == "." if len(rest) >= 3 else False)
-    out["email"] = ["spelled" if spelled else "sign", "held" if held else "loose", "host" if host else "no_host", f"name:{min(k, 4)}", f"rest:{min(len(rest), 6)}", "cue" if near["email"] else "no_cue", "dot_word" if any(w in DOT for w in rest) else "dot_sign"]
+    out["email"] = ["spelled" if spelled else "sign", "held" if held else "loose", "inside" if i and tokens[i - 1][2] == span[0][1] else "free", "host" if host else "no_host", f"name:{min(k, 4)}", "name_apart" if any(tokens[i + q][2] < tokens[i + q + 1][1] for q in range(k - 1 - held)) else "name_tight", f"rest:{min(len(rest), 6)}", "cue" if near["email"] else "no_cue", "dot_word" if any(w in DOT for w in rest) else "dot_tight" if tight else "dot_apart"]
     return out
 
 
 class SemiCrf:
-    """Segments are single tokens outside, or spans of a kind; a weight for each feature of a kind and for spans in a row."""
+    """Segments are single tokens outside, or spans of a kind.
+
+    weights: of each feature of a kind, and of the transitions "last|kind" where two spans
+    touch and "last>kind" where up to NEAR tokens are between them.
+    """
 
-    def __init__(self) -> None:
-        self.w: dict[str, float] = defaultdict(float)
+    def __init__(self, weights: dict[str, float] | None = None) -> None:
+        self.w: dict[str, float] = defaultdict(float, weights or {})
 
     def lattice(self, text: str, tokens: list[Token]) -> list[list[tuple[int, str, list[str]]]]:
         """Of each start, the candidate spans (end, kind, features)."""
         lower = [t.lower() for t, _, _ in tokens]
         signs = [k for k, t in enumerate(lower) if t == "@" or t in AT] + [len(tokens)] * 2
-        out, sign = [], 0
+        blobs = [k for k, (t, _, _) in enumerate(tokens) if _blob(t)] + [len(tokens)]
+        out, sign, blob = [], 0, 0
         for i in range(len(tokens)):
             here = []
             while signs[sign] < i:
                 sign += 1
-            most = min(len(tokens), i + MOST_TOKENS)
-            if tokens[i][0][0].isdigit() or tokens[i][0] in "+(":
-                ends = range(i + 1, next((j for j in range(i + 1, most) if not (tokens[j][0][0].isdigit() or tokens[j][0] in _SEPARATORS)), most) + 1)
-            elif tokens[i][0][0].isalnum() and signs[sign] > i:
-                ends = range(signs[sign] + 2, min(most, signs[sign + 1]) + 1)  # an address has one sign, within
-            else:
-                ends = range(0)
-            if ends:
-                for j in ends:
-                    for kind, fs in span_features(text, tokens, i, j, lower).items():
-                        here.append((j, kind, [f"{kind} {f}" for f in ("bias", *fs)]))
+            while blobs[blob] < i:
+                blob += 1
+            t, most = tokens[i][0], min(len(tokens), i + MOST_TOKENS)
+            ends: set[int] = set()
+            if t[0] in "+(" or t.isdigit():
+                j = i + 1
+                while j < most and ((u := tokens[j][0]).isdigit() or u in _SEPARATORS):
+                    j += 1
+                held = groups = 0
+                for k in range(i, j):
+                    if tokens[k][0].isdigit():
+                        held, groups = held + len(tokens[k][0]), groups + 1
+                        if held >= 7 or groups == 4:  # no fewer digits make a number, but an address
+                            ends.add(k + 1)
+                        if held > 19:
+                            break
+            elif t.isalnum():
+                if i < signs[sign] < most:  # an address has one sign within, and after it a dot
+                    upto = min(most, signs[sign + 1])
+                    dot = next((k for k in range(signs[sign] + 1, upto - 1) if lower[k] == "." or lower[k] in DOT), upto)
+                    if dot == upto:  # one before the sign will do
+                        dot = signs[sign] if any(w == "." or w in DOT for w in lower[i + 1 : signs[sign]]) else upto
+                    ends.update(k for k in range(max(dot + 2, i + 5), upto + 1) if lower[k - 1].isalpha())
+                if blobs[blob] < most:
+                    j = i + 1  # the run without white space that holds the blob
+                    while j < most and tokens[j][1] == tokens[j - 1][2] and (tokens[j][0].isalnum() or tokens[j][0] in "-_"):
+                        j += 1
+                    if blobs[blob] < j and (not i or tokens[i - 1][2] < tokens[i][1] or not (tokens[i - 1][0].isalnum() or tokens[i - 1][0] in "-_")):
+                        ends.update(k for k in range(blobs[blob] + 1, j + 1) if tokens[k - 1][0].isalnum())
+            for j in sorted(ends):
+                for kind, fs in span_features(text, tokens, i, j, lower).items():
+                    here.append((j, kind, [f"{kind} {f}" for f in ("bias", *fs)]))
             out.append(here)
         return out
 
-    def best(self, text: str, tokens: list[Token]) -> list[tuple[int, int, str]]:
-        """The segmentation of greatest score: its spans."""
-        spans = self.lattice(text, tokens)
-        n = len(tokens)
-        score, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
-        for i in range(n):
-            for j, kind, s in [(i + 1, None, 0.0), *((j, k, sum(self.w.get(f, 0.0) for f in fs)) for j, k, fs in spans[i])]:
-                if score[i] + s > score[j]:
-                    score[j], back[j] = score[i] + s, (i, kind)
-        out, j = [], n
-        while j:
-            i, kind = back[j]
-            if kind:
-                out.append((i, j, kind))
-            j = i
+    def best(self, text: str, tokens: list[Token], spans: list | None = None) -> list[tuple[int, int, str]]:
+        """The segmentation of greatest score: its spans.
+
+        Tokens outside score nothing, so only the starts of candidates are visited: `far`
+        is the best of what is forgotten, `at` has the best score of each kind of span that ends at a place.
+        """
+        w = self.w
+        far: tuple[float, tuple | None] = (0.0, None)
+        at: dict[int, dict[str, tuple[float, tuple | None]]] = {}
+        for i, here in enumerate(self.lattice(text, tokens) if spans is None else spans):
+            if not here:
+                continue
+            for j in [k for k in at if k < i - NEAR]:
+                far = max(far, *at.pop(j).values(), key=lambda x: x[0])
+            close = [("|" if j == i else ">", last, v, link) for j in range(i - NEAR, i + 1) for last, (v, link) in at.get(j, {}).items()]
+            for j, kind, fs in here:
+                ways = [far, *((v + w.get(last + sign + kind, 0.0), link) for sign, last, v, link in close)]
+                v, link = max(ways, key=lambda x: x[0])
+                v += sum(w.get(f, 0.0) for f in fs)
+                if kind not in (to := at.setdefault(j, {})) or v > to[kind][0]:
+                    to[kind] = (v, (i, j, kind, link))
+        link = max([far, *(x for found in at.values() for x in found.values())], key=lambda x: x[0])[1]
+        out = []
+        while link:
+            i, j, kind, link = link
+            out.append((i, j, kind))
         return out[::-1]
 
-    def train(self, lines: list[tuple[str, list[Span]]], rounds: int = 12, rate: float = 0.5, decay: float = 1e-3) -> None:
-        """Gradient ascent on the conditional likelihood, with forward and backward sums over the segmentations."""
+    @staticmethod
+    def _transitions(chosen: list[tuple[int, int, str]]) -> Iterator[str]:
+        for (_, end, last), (i, _, kind) in zip(chosen, chosen[1:], strict=False):
+            if i - end <= NEAR:
+                yield last + ("|" if i == end else ">") + kind
+
+    def score(self, spans: list, chosen: list[tuple[int, int, str]]) -> float:
+        """The score of a segmentation, given as its spans in order."""
+        own = [f for i, j, kind in chosen for f in next(fs for k, c, fs in spans[i] if (k, c) == (j, kind))]
+        return sum(self.w.get(f, 0.0) for f in [*own, *self._transitions(chosen)])
+
+    def _gradient(self, spans: list, gold: list[tuple[int, int, str]]) -> dict[str, float]:
+        """What the gold segmentation holds of each feature, less what is expected of it: forward and backward sums over states.
+
+        A state is the last span's kind and how many tokens ago it ended, or that it is forgotten.
+        """
+        n, w = len(spans), self.w
+        states = [("", NEAR + 1), *((k, ago) for k in KINDS for ago in range(NEAR + 1))]
+        number = {x: i for i, x in enumerate(states)}
+        away = [number.get((k, ago + 1), 0) for k, ago in states]
+        step = lambda last, ago, kind: last + "|>"[ago > 0] + kind if last else None
+        arcs = [[(j, number[kind, 0], kind, fs, [math.exp(sum(w[f] for f in fs) + (w[t] if (t := step(*x, kind)) else 0.0)) for x in states]) for j, kind, fs in here] for here in spans]
+        ahead = [[0.0] * len(states) for _ in range(n + 1)]
+        ahead[0][0] = 1.0
+        for i in range(n):
+            for s, v in enumerate(ahead[i]):
+                ahead[i + 1][away[s]] += v
+            for j, to, _, _, e in arcs[i]:
+                ahead[j][to] += sum(v * x for v, x in zip(ahead[i], e, strict=True))
+        behind = [[0.0] * len(states) for _ in range(n)] + [[1.0] * len(states)]
+        for i in reversed(range(n)):
+            for s in range(len(states)):
+                behind[i][s] = behind[i + 1][away[s]] + sum(e[s] * behind[j][to] for j, to, _, _, e in arcs[i])
+        whole = sum(ahead[n])
+        grad: dict[str, float] = defaultdict(float)
+        for i, j, kind in gold:
+            for f in next(fs for k, c, fs in spans[i] if (k, c) == (j, kind)):
+                grad[f] += 1
+        for t in self._transitions(gold):
+            grad[t] += 1
+        for i in range(n):
+            for j, to, kind, fs, e in arcs[i]:
+                each = [v * x * behind[j][to] / whole for v, x in zip(ahead[i], e, strict=True)]
+                for f in fs:
+                    grad[f] -= sum(each)
+                for x, p in zip(states, each, strict=True):
+                    if p and (t := step(*x, kind)):
+                        grad[t] -= p
+        return grad
+
+    def train(self, lines: list[tuple[str, list[Span]]], rounds: int = 10, rate: float = 0.5, decay: float = 1e-3) -> None:
+        """Gradient ascent on the conditional likelihood of lines with their spans."""
         sums: dict[str, float] = defaultdict(lambda: 1e-8)
-        made = [(self.lattice(t, tok := tokens_of(t)), tok, {(a, b, k) for k, a, b in gold}) for t, gold in lines]
+        made = []
+        for text, gold in lines:
+            tokens = tokens_of(text)
+            spans, want = self.lattice(text, tokens), {(a, b, k) for k, a, b in gold}
+            found = sorted({(i, j, k) for i, here in enumerate(spans) for j, k, _ in here if (tokens[i][1], tokens[j - 1][2], k) in want})
+            made.append((spans, found))
         for _ in range(rounds):
-            for spans, tokens, gold in made:
-                n = len(tokens)
-                w = [[(j, fs, sum(self.w[f] for f in fs), (tokens[i][1], tokens[j - 1][2], k) in gold) for j, k, fs in spans[i]] for i in range(n)]
-                ahead, behind = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-                for i in range(n):
-                    ahead[i + 1] += ahead[i]
-                    for j, _, s, _ in w[i]:
-                        ahead[j] += ahead[i] * math.exp(s)
-                for i in reversed(range(n)):
-                    behind[i] = behind[i + 1] + sum(math.exp(s) * behind[j] for j, _, s, _ in w[i])
-                grad: dict[str, float] = defaultdict(float)
-                for i in range(n):
-                    for j, fs, s, true in w[i]:
-                        g = true - ahead[i] * math.exp(s) * behind[j] / ahead[n]
-                        for f in fs:
-                            grad[f] += g
-                for f, g in grad.items():
+            for spans, gold in made:
+                for f, g in self._gradient(spans, gold).items():
                     g -= decay * self.w[f]
                     sums[f] += g * g
                     self.w[f] += rate * g / math.sqrt(sums[f])
@@ -228,7 +343,7 @@ def tokens_of(text: str, start: int = 0, end: int | None = None) -> list[Token]:
     return [(m[0], *m.span()) for m in _TOKEN.finditer(text, start, len(text) if end is None else end)]
 
 
-def synthetic_lines(n: int = 240, seed: int = 7) -> list[tuple[str, list[Span]]]:
+def synthetic_lines(n: int = 480, seed: int = 7) -> list[tuple[str, list[Span]]]:
     """Lines with entities in forms that the base patterns miss, and with look-alikes that are none."""
     r = random.Random(seed)
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -249,21 +364,35 @@ def synthetic_lines(n: int = 240, seed: int = 7) -> list[tuple[str, list[Span]]]
     def four(c: str) -> str:
         return c.join(d[i : i + 4] for d in [card()] for i in range(0, 16, 4))
 
-    entity = {"phone": phone, "email": email, "card": lambda: four(r.choice([".", "/"])), "ip": lambda: r.choice(["[.]", " . "]).join(str(r.randint(1, 255)) for _ in range(4))}
+    def secret() -> str:
+        kinds = r.choice(["0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"])
+        return "".join(r.choice(kinds) for _ in range(r.choice([16, 20, 32, 40, 64]) - 2)) + r.choice("abcdef" if kinds[10] == "a" else "ABCDEF") + r.choice("0123456789")
+
+    def digest() -> str:
+        return "".join(r.choice("0123456789abcdef") for _ in range(r.choice([30, 38, 62]))) + "7f"
+
+    entity = {"secret": secret, "phone": phone, "email": email, "card": lambda: four(r.choice([".", "/"])), "ip": lambda: r.choice(["[.]", " . "]).join(str(r.randint(1, 255)) for _ in range(4))}
     other = [
         lambda: f"{r.randint(1900, 2030)}-{num(2)}-{num(2)}", lambda: f"{num(2)}:{num(2)}:{num(2)}", lambda: f"{num(1)}.{num(2)}.{num(1)}", lambda: num(r.choice([2, 4, 5, 7, 8, 10, 14, 16])),
-        lambda: f"{num(1)}.{num(3)}.{num(3)}", lambda: f"{num(2)}/{num(2)}/{num(4)}", lambda: f"{num(4)} {num(4)}", lambda: f"{word()} at {word()} {word()}", lambda: f"{num(3)}, {num(3)}, {num(4)}", lambda: ".".join(num(4) for _ in range(4)), lambda: f"{num(3)} {num(5)} {num(2)}",
+        lambda: f"{num(1)}.{num(3)}.{num(3)}", lambda: f"{num(2)}/{num(2)}/{num(4)}", lambda: f"{num(4)} {num(4)}", lambda: f"{word()} at {word()} {word()}", lambda: f"{word()} at {word()}. {word()} {word()}", lambda: f"{word()}. {word()} at {word()}. {word()}", lambda: f"{word()} at {word()} {word()} {word()}. {word()}", lambda: f"{num(3)}, {num(3)}, {num(4)}", lambda: ".".join(num(4) for _ in range(4)), lambda: f"{num(3)} {num(5)} {num(2)}",
+        lambda: f"{num(3)} {num(4)}", lambda: f"{num(3)} {num(4)}", lambda: f"commit {digest()}", lambda: f"build{num(8)}x", lambda: f"sha256 {digest()}", lambda: f"checksum: {digest()}", lambda: f"file img{num(10)}jpg", lambda: f"number: {num(12)}ab",
     ]
     out = []
     for _ in range(n):
         line, gold = " ".join(word() for _ in range(r.randint(1, 3))), []
         for _ in range(r.randint(1, 2)):
-            kind = r.choice([*KINDS, None, None, None])
+            kind = r.choice([*KINDS, None, None, None, None])
             if kind:
-                if r.random() < 0.5:
-                    line += " " + r.choice(sorted(CUES[kind])) + r.choice(["", ":"])
-                made = entity[kind]()
-                gold.append((kind, len(line) + 1, len(line) + 1 + len(made)))
+                if r.random() < (0.9 if kind == "secret" else 0.5):
+                    line += " " + r.choice(sorted(CUES[kind])) + (r.choice([" =", ":", "=", " = ", ""]).rstrip(" ") if kind == "secret" else r.choice(["", ":"]))
+                made, quote = entity[kind](), r.choice(["", "\"", "'"]) if kind == "secret" else ""
+                gold.append((kind, len(line) + 1 + len(quote), len(line) + 1 + len(quote) + len(made)))
+                made = quote + made + quote
+                if kind == "phone" and r.random() < 0.4:  # a second number without its code, which alone would be none
+                    sign, short = r.choice([", ", " / ", " or "]), f"{num(3)} {num(4)}"
+                    at = len(line) + 1 + len(made) + len(sign)
+                    gold.append((kind, at, at + len(short)))
+                    made += sign + short
             else:
                 made = r.choice(other)()
             line += f" {made}{r.choice(['', '.', ','])} {word()}"
@@ -289,7 +418,7 @@ def windows(text: str) -> Iterator[list[Token]]:
     lo = hi = 0
     dots = [k for k, (t, _, _) in enumerate(tokens) if t == "." or t.lower() in DOT]
     for k, (t, _, _) in enumerate(tokens):
-        if not "0" <= t[0] <= "9":
+        if not ("0" <= t[0] <= "9" or _blob(t)):
             if t != "@" and t.lower() not in AT:
                 continue
             dot = bisect_left(dots, k - MOST_TOKENS)
@@ -317,7 +446,7 @@ def added_spans(text: str, base: list[Span], crf: SemiCrf) -> list[Span]:
     meets = lambda s, e: (k := bisect_right(ends, s)) < len(taken) and taken[k][0] < e
     out = []
     for tokens in windows(text):
-        if all(meets(s, e) for t, s, e in tokens if t[0].isdigit() or t == "@") and not any(t.lower() in AT | DOT for t, _, _ in tokens):
+        if all(meets(s, e) for t, s, e in tokens if t[0].isdigit() or t == "@" or _blob(t)) and not any(t.lower() in AT | DOT for t, _, _ in tokens):
             continue  # the base spans explain all that could be found
         for i, j, kind in crf.best(text, tokens):
             s, e = tokens[i][1], tokens[j - 1][2]
@@ -327,11 +456,11 @@ def added_spans(text: str, base: list[Span], crf: SemiCrf) -> list[Span]:
 
 
 def find(text: str | None, crf: SemiCrf) -> tuple[list[Span], list[Span]]:
-    """Base spans, and all spans, both by start and then kind."""
+    """Base spans, and all spans, both by start, kind and end."""
     text = text or ""
     base = base_spans(text)
     more = added_spans(text, base, crf)
-    return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]))) if more else base
+    return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2])) if more else base
 
 
 def joined(spans: list[Span]) -> str:
@@ -349,8 +478,10 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def _run(n_kept: int, what: str):
+    weights = dict(trained().w)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crf = trained()
+        crf = SemiCrf(weights)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -362,7 +493,7 @@ def _run(n_kept: int, what: str):
                     new = [t if t is None or not all_ else redact(t, all_) for t, (_, all_) in zip(texts, found, strict=True)]
                     cols = {"text": pa.array(new, pa.string())}
                 else:
-                    cols = {f"n_{k}": pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS}
+                    cols = {f"n_{k}": pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in BASE_KINDS}
                     cols["base_sha256"] = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found])
                     cols["spans"] = pa.array([joined(all_) for _, all_ in found], pa.string())
                 yield pa.RecordBatch.from_arrays([*kept, *cols.values()], names=[*names, *cols])
@@ -374,12 +505,14 @@ def spans(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
     """The kept columns, n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans (all, as kind:start:end)."""
     keep = keep if keep is not None else ["doc_id"]
     kept = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
-    ddl = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes[1:]), *(f"n_{k} long" for k in KINDS), "base_sha256 string, spans string"])
+    ddl = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes[1:]), *(f"n_{k} long" for k in BASE_KINDS), "base_sha256 string, spans string"])
+    disjoint(keep, [*(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
     return kept.mapInArrow(_run(len(keep), "spans"), ddl)
 
 
 def redacted(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns and text, its spans replaced by <KIND>."""
     keep = keep if keep is not None else ["doc_id"]
+    disjoint(keep, ["text"])
     kept = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
     return kept.mapInArrow(_run(len(keep), "redact"), ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes[1:]), "text string"]))
