@@ -14,6 +14,9 @@ characters that aren't white space; each cut-off part is split by the vocabulary
 pattern. Encodings of short parts are kept in a table of bounded size.
 
 A null text counts as empty: no ids. Decoding the ids gives the text's UTF-8 bytes back.
+Texts of any length are encoded whole; rows that repeat are encoded each, alike; an empty
+table gives an empty result. Kept columns with the name of a result column are an error;
+others may have any name.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import disjoint
+
 #: Parts and pieces of at most so many characters are remembered, so many of each in a worker.
 KEPT_CHARS, KEPT_PARTS, KEPT_PIECES = 40, 300_000, 400_000
 #: White space apart from U+0020 and U+000A.
@@ -186,6 +191,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, text_col: str, keep: list
     with open(path, "rb") as f:  # fixed size, read where the query is planned and sent along with the task
         ranks = f.read()
     kept = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
+    disjoint(keep, ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"])
     made = "ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded binary"
     ddl = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes[1:]), "n_tokens long", made])
     return kept.mapInArrow(_run(ranks, pattern, digests), ddl)

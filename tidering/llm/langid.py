@@ -13,6 +13,8 @@ in the sample and when predicting. lang, source and doc_id are no inputs of a pr
 Null or letterless texts: `und`, score 0, rejected. With no labelled row to learn from,
 every text is `und` and none with a letter is rejected. Rows of one doc_id, and texts
 that repeat, are each predicted alike; equal cosines go to the smaller language name.
+An empty table gives an empty result. Kept columns with the name of a result column are
+an error; others may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import disjoint, fold
 
 #: Bounds of what is learnt from: rows of a language on average, and languages' rows in total.
 SAMPLE_A_LANGUAGE, SAMPLE_ROWS = 400, 4000
@@ -139,6 +141,7 @@ def _predicted(model: Model, n_kept: int):
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns, lang_pred, score (0 to 1), cosine and rejected."""
     keep = keep if keep is not None else ["doc_id"]
+    disjoint(keep, ["lang_pred", "score", "cosine", "rejected"])
     kept = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
     ddl = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes[1:]), "lang_pred string, score double, cosine double, rejected boolean"])
     return kept.mapInArrow(_predicted(model, len(keep)), ddl)

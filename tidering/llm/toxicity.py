@@ -7,23 +7,31 @@ lexicon, determinised as needed: a state is the set of (trie node, edits so far)
 that reading a word costs one step a character and most words die after a few. Longer
 words allow more edits, stems none; common letter substitutes are read as letters.
 
-Each hit counts as abuse or as quotation by a score over the words around it (quotation
-marks, words of reporting), and a logistic model over the distinct terms hit in each way,
-by their weights, gives the score. It is fitted around prior weights, so kinds of hits that the sample
-lacks keep their prior.
+Each hit is abuse or quotation by a logistic score over the window of words around it:
+its edits, quotation marks before and after it, both, words of reporting, and for an
+edited hit whether the term is loose, one with many innocent neighbours. The score's
+weights are learnt from the hits of the sample, by whether their row is toxic, around
+prior weights, so signs that the sample lacks keep their prior. A text's score is a
+logistic one of its distinct terms' weights, each times its most abusive hit.
 
 Learnt from: labelled rows outside fold 0, of each label those whose hashed id falls
-under the fraction that gives SAMPLE_A_LABEL rows on average. labels, lang, source and
-doc_id are no inputs of a score. Null and empty texts have no hits and get the score of
-no hits. Labels that are null or whose document is missing teach nothing; if a document
-is labelled twice, the greater label counts.
+under the fraction that gives SAMPLE_A_LABEL rows on average; of rows that share a label
+and the least hash of four words in a row, as near copies mostly do, the least text
+counts. What is learnt doesn't depend on how rows are dealt over partitions. The lexicon
+has no other limit than its rows. labels, lang, source and doc_id are no inputs of a score.
+
+Null and empty texts have no hits and get the score of no hits. Texts of any length are
+read whole. Rows that repeat are scored each, alike. Labels that are null or whose
+document is missing teach nothing; if a document is labelled twice, the greater label
+counts; without a toxic label every score is that of no hits. An empty table gives an empty result. Kept columns with the name
+of a result column are an error; others may have any name.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,10 +40,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold, partitions
+from .common import Scratch, disjoint, fold
 
-#: Bounds of what is learnt from, and of the lexicon.
-SAMPLE_A_LABEL, LEXICON = 3000, 500
+#: Bound of the labelled rows that are learnt from, of each label on average.
+SAMPLE_A_LABEL = 3000
 #: A term of fewer letters than the first allows no edit, of fewer than the second one, else two.
 EDIT_LENGTHS = (5, 8)
 #: Lengths of the stems that may become terms.
@@ -164,56 +172,81 @@ class Matcher:
 
 
     def misspellings(self, tokens: list[str]) -> set[str]:
-        """The words that are hits by edits only, and not quoted."""
-        near = [(i, _STRIP.sub("", t), h) for i, t in enumerate(tokens) if (h := self.find(t)) and h[1]]
-        return {w if self._run(w) == h else _STRIP.sub("", tokens[i].translate(SUBSTITUTES)) for i, w, h in near if not quoted(tokens, i)}
+        """The words that are hits by edits only."""
+        near = [(t, _STRIP.sub("", t), h) for t in tokens if (h := self.find(t)) and h[1]]
+        return {w if self._run(w) == h else _STRIP.sub("", t.translate(SUBSTITUTES)) for t, w, h in near}
 
 
-def quoted(tokens: list[str], at: int) -> bool:
-    """Whether the words around a hit speak for quotation: marks on both sides, or a mark and a word of reporting."""
-    before, after = tokens[max(0, at - WINDOW) : at], tokens[at + 1 : at + 1 + WINDOW]
-    own = tokens[at]
-    opened = any(m in x for x in before for m in MARKS) or own[0] in MARKS
-    closed = any(m in x for x in after for m in MARKS) or own[-1] in MARKS or any(m in own[1:] for m in MARKS)
+#: What a hit's context is scored by, and the prior weights: abuse speaks for itself, edits and signs of quotation against it.
+SIGNS = ("hit", "one edit", "two edits", "mark before", "mark after", "marks around", "reporting", "edits of a loose term")
+SIGN_PRIOR = np.array([2.0, -0.7, -1.4, -0.5, -0.5, -2.0, -1.5, -3.0])
+
+
+def signs(tokens: list[str], at: int, edits_: int, loose: bool) -> tuple[int, ...]:
+    """The SIGNS of a hit, each 0 or 1: from the words around it and the marks at its own ends."""
+    before, after, own = tokens[max(0, at - WINDOW) : at], tokens[at + 1 : at + 1 + WINDOW], tokens[at]
+    opened = own[0] in MARKS or any(m in x for x in before for m in MARKS)
+    closed = any(m in own[1:] for m in MARKS) or any(m in x for x in after for m in MARKS)
     said = any(_STRIP.sub("", x) in REPORTING for x in (*before[-4:], *after[:4]))
-    return 2 * opened + 2 * closed + 2 * said >= 4
+    return (1, int(edits_ == 1), int(edits_ >= 2), int(opened), int(closed), int(opened and closed), int(said), int(loose and edits_ > 0))
 
 
 #: Of the sparse regression that picks the terms.
 PENALTY = 2e-4
-#: Kinds of hits, each by edits; abuse, then quotation.
-FEATURES = ("exact", "one", "two", "quoted_exact", "quoted_one", "quoted_two")
-PRIOR = np.array([-4.0, 3.5, 2.0, 1.0, 1.0, 0.5, 0.2])
+#: A word near to a term is a misspelling of it, and a term not loose, from such log odds of toxic rows on, if innocent rows hold it at all.
+MISREAD = 2.0
+#: Weights of terms that count as none.
+LEAST_WEIGHT = 0.05
+#: Of the text's score: for nothing, and for the logarithm of its terms' weights.
+PRIOR = np.array([-4.0, 3.5])
 
 
-def features(text: str | None, matcher: Matcher, weights: dict[str, float]) -> list[float]:
+def hits(text: str | None, matcher: Matcher, loose: Collection[str] = ()) -> dict[str, set[tuple[int, ...]]]:
+    """Of each term found, the distinct SIGNS of its hits."""
     tokens = (text or "").lower().split()
-    find, out = matcher.find, [0.0] * len(FEATURES)
-    hits = [(i, h) for i, h in enumerate(map(find, tokens)) if h]
-    for kind, term in {(min(e, 2) + 3 * quoted(tokens, i), term) for i, (term, e) in hits}:
-        out[kind] += weights[term]
-    return [math.log2(1 + x) for x in out]
+    out: dict[str, set[tuple[int, ...]]] = {}
+    for i, h in enumerate(map(matcher.find, tokens)):
+        if h:
+            out.setdefault(h[0], set()).add(signs(tokens, i, h[1], h[0] in loose))
+    return out
+
+
+def abuse(found: tuple[int, ...], context: np.ndarray) -> float:
+    """The probability that a hit of these signs is abuse rather than quotation."""
+    return 1 / (1 + math.exp(-sum(w for w, s in zip(context.tolist(), found, strict=True) if s)))
 
 
 @dataclass
 class Model:
     terms: dict[str, float]  # with their weights
     innocent: list[str] = field(default_factory=list)  # words near to terms that are none of their misspellings
+    loose: frozenset[str] = frozenset()  # terms whose edits innocent rows hold about as often as toxic ones
+    context: np.ndarray = field(default_factory=lambda: SIGN_PRIOR.copy())
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
-    def score(self, x: list[float]) -> float:
-        return float(1 / (1 + np.exp(-(self.weights[0] + self.weights[1:] @ np.array(x)))))
+    def matcher(self) -> Matcher:
+        return Matcher(self.terms, innocent=self.innocent)
+
+    def hits(self, text: str | None, matcher: Matcher) -> dict[str, set[tuple[int, ...]]]:
+        return hits(text, matcher, self.loose)
+
+    def feature(self, found: dict[str, set[tuple[int, ...]]]) -> float:
+        return math.log2(1 + sum(self.terms[t] * max(abuse(s, self.context) for s in each) for t, each in sorted(found.items())))
+
+    def score(self, found: dict[str, set[tuple[int, ...]]]) -> float:
+        """From 0 to 1, of the hits of a text."""
+        return 1 / (1 + math.exp(-(self.weights[0] + self.weights[1] * self.feature(found))))
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Logistic regression by damped Newton steps, with a Gaussian prior of deviation 2 around PRIOR."""
-    z = np.column_stack([np.ones(len(x)), x])
-    loss = lambda w: np.logaddexp(0, z @ w).sum() - y @ (z @ w) + ((w - PRIOR) ** 2).sum() / 8
-    w = PRIOR.copy()
+def fit_weights(z: np.ndarray, y: np.ndarray, prior: np.ndarray, deviation: float, rounds: int = 50) -> np.ndarray:
+    """Logistic regression by damped Newton steps, with a Gaussian prior."""
+    hold = 1 / deviation**2
+    loss = lambda w: np.logaddexp(0, z @ w).sum() - y @ (z @ w) + hold * ((w - prior) ** 2).sum() / 2
+    w = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (p - y) + (w - PRIOR) / 4
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.eye(len(w)) / 4, g)
+        g = z.T @ (p - y) + hold * (w - prior)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + hold * np.eye(len(w)), g)
         size = 1.0
         while size > 1e-4 and loss(w - size * step) > loss(w):
             size /= 2
@@ -225,7 +258,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 
 def strings(tokens: list[str]) -> set[str]:
     """The distinct words of a text, and the stems of those that are longer."""
-    words = {w for w in (_STRIP.sub("", t) for t in tokens) if 3 <= len(w) <= 40}
+    words = {w for w in (_STRIP.sub("", t) for t in tokens) if w}
     return words | {w[:n] + "*" for w in words for n in STEMS if n < len(w)}
 
 
@@ -234,23 +267,25 @@ def family(tokens: list[str]) -> int:
     return min(xxhash.xxh3_64_intdigest(" ".join(tokens[i : i + 4])) for i in range(max(1, len(tokens) - 3))) >> 1
 
 
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, toxic, family) of the rows with a word."""
+    for b in batches:
+        found = [(t, y, family(w)) for t, y in zip(*(c.to_pylist() for c in b.columns), strict=True) if (w := (t or "").lower().split())]
+        cols = list(zip(*found, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["text", "toxic", "family"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(string, a, b): rows with each string, toxic and others; of rows of one family and label the first counts."""
+    """(string, a, b): rows with each string, toxic and others."""
     seen: dict[str, list[int]] = {}
-    families = set()
     for batch in batches:
-        for text, toxic, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            tokens = (text or "").lower().split()
-            if not tokens or (key := (family(tokens), toxic)) in families:
-                continue
-            families.add(key)
-            for w in strings(tokens):
+        for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for w in strings(text.lower().split()):
                 seen.setdefault(w, [0, 0])[1 - toxic] += 1
-    seen[""] = [sum(t for _, t in families), sum(1 - t for _, t in families)]
     names = list(seen)
     for at in range(0, len(names), 50_000):
         part = names[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array([seen[w][i] for w in part], pa.int64()) for i in (0, 1))], names=["string", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([seen[w][i] for w in part], pa.int64()) for i in (0, 1))], names=["string", "a", "b"])
 
 
 def _holding(wanted: list[str]):
@@ -258,7 +293,7 @@ def _holding(wanted: list[str]):
         """The numbers of the wanted strings that each row holds, and its label."""
         number = {w: i for i, w in enumerate(wanted)}
         for b in batches:
-            held = [sorted(number[w] for w in strings((x.as_py() or "").lower().split()) if w in number) for x in b.column(0)]
+            held = [sorted(number[w] for w in strings(x.as_py().lower().split()) if w in number) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32())), b.column(1)], names=["held", "toxic"])
 
     return run
@@ -266,37 +301,45 @@ def _holding(wanted: list[str]):
 
 def _misread(weights: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The misspellings of terms that rows hold, and the row's label."""
+        """The misspellings of terms that rows hold, with the row's label and half."""
         matcher = Matcher(weights)
         for b in batches:
-            found = [(w, y) for x, y in zip(b.column(0), b.column(1).to_pylist(), strict=True) for w in matcher.misspellings((x.as_py() or "").lower().split())]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], names=["word", "toxic"])
+            found = [(w, y, h) for x, y, h in zip(*(c.to_pylist() for c in b.columns), strict=True) for w in matcher.misspellings(x.lower().split())]
+            cols = list(zip(*found, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32()), strict=True)], names=["word", "toxic", "half"])
 
     return run
 
 
-def _featured(weights: dict[str, float], innocent: list[str]):
+def _hit(terms: dict[str, float], innocent: list[list[str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(weights, innocent=innocent)
+        """(toxic, hits) of each row, its hits as [(term, signs)], without the innocent words told for its half."""
+        matchers = [Matcher(terms, innocent=some) for some in innocent]
         for b in batches:
-            x = [features(t.as_py(), matcher, weights) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "toxic"])
+            found = [[{"term": t, "signs": list(s)} for t, each in sorted(hits(x.as_py(), matchers[h]).items()) for s in sorted(each)] for x, h in zip(b.column(0), b.column(2).to_pylist(), strict=True)]
+            kind = pa.list_(pa.struct([("term", pa.string()), ("signs", pa.list_(pa.int32()))]))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, kind)], names=["toxic", "hits"])
 
     return run
 
 
-def sparse_weights(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> np.ndarray:
-    """Nonnegative weights of an L1-penalised logistic regression with a free intercept, by accelerated proximal gradient."""
-    n, p = x.shape
-    z = np.column_stack([np.ones(n, np.float32), x])
-    w = v = np.zeros(p + 1, np.float32)
-    v_ = np.ones(p + 1, np.float32)
+def sparse_weights(rows: list[list[int]], y: np.ndarray, p: int, penalty: float, rounds: int = 400) -> np.ndarray:
+    """Nonnegative weights of an L1-penalised logistic regression with a free intercept, by accelerated proximal gradient.
+
+    rows: of each row the numbers of its features, which are 0 or 1.
+    """
+    n = len(rows)
+    at, held = np.repeat(np.arange(n), [len(r) for r in rows]), np.fromiter((i for r in rows for i in r), np.int64)
+    apply = lambda v: v[0] + np.bincount(at, v[1:][held], n)
+    back = lambda g: np.concatenate(([g.sum()], np.bincount(held, g[at], p)))
+    w = v = np.zeros(p + 1)
+    v_ = np.ones(p + 1)
     for _ in range(20):  # the largest eigenvalue bounds the curvature
-        v_ = z.T @ (z @ v_)
+        v_ = back(apply(v_))
         v_ /= np.linalg.norm(v_)
-    step, t = 4 * n / float(np.linalg.norm(z @ v_) ** 2 * 1.05), 1.0
+    step, t = 4 * n / float(np.linalg.norm(apply(v_)) ** 2 * 1.05), 1.0
     for _ in range(rounds):
-        g = z.T @ (1 / (1 + np.exp(-np.clip(z @ v, -30, 30))) - y) / n
+        g = back(1 / (1 + np.exp(-np.clip(apply(v), -30, 30))) - y) / n
         new = v - step * g
         new[1:] = np.maximum(new[1:] - step * penalty, 0)
         t_ = (1 + math.sqrt(1 + 4 * t * t)) / 2
@@ -304,9 +347,27 @@ def sparse_weights(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 4
     return w[1:]
 
 
+def distinct_strings(names: list[str], rows: list[list[int]]) -> list[int]:
+    """The numbers of the strings to learn from: of those that the same rows hold, the word, or else the longest stem.
+
+    So a word's own stems, which nothing tells from it, don't take its weight to other words.
+    """
+    holders: dict[int, list[int]] = {}
+    for n, r in enumerate(rows):
+        for i in r:
+            holders.setdefault(i, []).append(n)
+    best: dict[tuple[int, ...], int] = {}
+    rank = lambda i: (names[i].endswith("*"), -len(names[i]), names[i])
+    for i, some in holders.items():
+        key = tuple(some)
+        if key not in best or rank(i) < rank(best[key]):
+            best[key] = i
+    return sorted(best.values())
+
+
 def lexicon(names: list[str], weights: np.ndarray) -> dict[str, float]:
-    """The terms of the LEXICON greatest weights; a term's stems add theirs."""
-    kept = {names[i]: float(weights[i]) for i in np.argsort(-weights, kind="stable")[:LEXICON] if weights[i] > 0.05}
+    """The terms of more than LEAST_WEIGHT; a term's stems add theirs."""
+    kept = {n: float(w) for n, w in zip(names, weights, strict=True) if w > LEAST_WEIGHT}
     return {w: sum(kept.get(w[:n] + "*", 0.0) for n in STEMS if n < len(w.removesuffix("*"))) + kept[w] for w in sorted(kept)}
 
 
@@ -321,39 +382,63 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     u = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     scratch = Scratch(spark, "toxicity")
     chosen = known.where(u < share)  # two labels' sample: about 2 * SAMPLE_A_LABEL ids
-    rows = scratch.table(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "doc_id").repartition(partitions(spark)), "rows")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(_families, "text string, toxic int, family long")
+    rows = scratch.table(rows.groupBy("family", "toxic").agg(F.min("text").alias("text")).select("text", "toxic", (F.col("family") % 2).cast("int").alias("half")), "rows")
 
-    by = scratch.table(rows.mapInArrow(_counted, "string string, a long, b long").groupBy("string").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a >= 3"), "counts")
-    whole = by.where("string = ''").first()
-    n1, n0 = (whole["a"], whole["b"]) if whole else (0, 0)
+    of = {(r["half"], r["toxic"]): r["n"] for r in rows.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = (sum(n for (_, y), n in of.items() if y == label) for label in (1, 0))
+    by = rows.select("text", "toxic").mapInArrow(_counted, "string string, a long, b long").groupBy("string").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a >= 3")
     odds = F.log((F.col("a") + 0.5) / F.lit(n1 + 1)) - F.log((F.col("b") + 0.5) / F.lit(n0 + 1))
     low = odds - 2 * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    likely = by.withColumns({"odds": odds, "low": low}).where("string <> '' and low > 1").orderBy(F.desc("low"), F.col("string").endswith("*"), F.length("string").desc(), "string").limit(4 * LEXICON)
-    names = [r["string"] for r in likely.collect()]
+    names = sorted(r["string"] for r in by.where(low > 1).select("string").collect())  # of a bounded sample's words
     held = rows.select("text", "toxic").mapInArrow(_holding(names), "held array<int>, toxic int").collect()
     held.sort(key=lambda r: (r["toxic"], r["held"]))
-    x = np.zeros((len(held), len(names)), np.float32)
-    for i, r in enumerate(held):
-        x[i, r["held"]] = 1
-    terms = lexicon(names, sparse_weights(x, np.array([r["toxic"] for r in held], np.float32), PENALTY)) if names else {}
-    # words near to terms that innocent rows hold as often as toxic ones, by shares of the sample, are no misspellings
-    near = rows.select("text", "toxic").mapInArrow(_misread(terms), "word string, toxic int").groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
-    sampled = {y: sum(r["toxic"] == y for r in held) for y in (0, 1)}
-    innocent = sorted(r["word"] for r in near.where(F.col("b") * sampled[1] >= F.col("a") * sampled[0]).where("b > 0").collect())
-    got = rows.select("text", "toxic").mapInArrow(_featured(terms, innocent), "x array<double>, toxic int").collect()
-    scratch.drop(rows, by)
-    x, y = np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["toxic"] for r in got])
-    order = np.lexsort([y, *x.T])
-    return Model(terms, innocent, fit_weights(x[order], y[order]))
+    some = distinct_strings(names, [r["held"] for r in held])
+    number = {i: n for n, i in enumerate(some)}
+    each = [[number[i] for i in r["held"] if i in number] for r in held]
+    terms = lexicon([names[i] for i in some], sparse_weights(each, np.array([r["toxic"] for r in held], float), len(some), PENALTY)) if some else {}
+    # words near to terms that innocent rows hold, and toxic ones not much more often, by shares of the sample, are no misspellings
+    near = rows.mapInArrow(_misread(terms), "word string, toxic int, half int").groupBy("word", "half").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")).collect()
+
+    def few(held_by: dict[str, list[int]], m1: int, m0: int) -> list[str]:
+        """What innocent rows hold, and toxic ones not much more often."""
+        return sorted(w for w, (x, y) in held_by.items() if y and math.log((x + 0.5) / (m1 + 1)) - math.log((y + 0.5) / (m0 + 1)) < MISREAD)
+
+    def innocent(halves: tuple[int, ...]) -> list[str]:
+        held_by: dict[str, list[int]] = {}
+        for r in near:
+            if r["half"] in halves:
+                n = held_by.setdefault(r["word"], [0, 0])
+                n[0], n[1] = n[0] + r["a"], n[1] + r["b"]
+        m1, m0 = (sum(of.get((h, y), 0) for h in halves) for y in (1, 0))
+        return few(held_by, m1, m0)
+
+    # the words that one half tells innocent are left out of the other, so that the weight of edits is that for words not met before
+    got = rows.mapInArrow(_hit(terms, [innocent((1,)), innocent((0,))]), "toxic int, hits array<struct<term: string, signs: array<int>>>").collect()
+    model = Model(terms, innocent((0, 1)))
+    scratch.drop(rows)
+    got = sorted((r["toxic"], [(h["term"], tuple(h["signs"])) for h in r["hits"]]) for r in got)
+    edited: dict[str, list[int]] = {}
+    for y, found in got:
+        for t in {t for t, s in found if s[1] or s[2]}:
+            edited.setdefault(t, [0, 0])[1 - y] += 1
+    model.loose = frozenset(few(edited, n1, n0))
+    got = sorted((y, [(t, (*s[:-1], int(t in model.loose and s[1] + s[2] > 0))) for t, s in found]) for y, found in got)
+    if seen := sorted({(y, s, t, n) for n, (y, found) in enumerate(got) for t, s in found}):
+        model.context = fit_weights(np.array([s for _, s, _, _ in seen], float), np.array([y for y, *_ in seen], float), SIGN_PRIOR, 1.0)
+    found = [{t: {s for u, s in each if u == t} for t, _ in each} for _, each in got]
+    x = np.array([[1.0, model.feature(f)] for f in found]).reshape(len(found), 2)
+    model.weights = fit_weights(x, np.array([y for y, _ in got], float), PRIOR, 2.0)
+    return model
 
 
 def _scored(model: Model, n_kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.terms, innocent=model.innocent)
+        matcher = model.matcher()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                s = [model.score(features(t.as_py(), matcher, model.terms)) for t in b.column(0)]
+                s = [model.score(model.hits(t.as_py(), matcher)) for t in b.column(0)]
                 yield pa.RecordBatch.from_arrays([*b.columns[1 : 1 + n_kept], pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=[*b.schema.names[1 : 1 + n_kept], "score", "predicted"])
 
     return run
@@ -362,6 +447,7 @@ def _scored(model: Model, n_kept: int):
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns, score (0 to 1) and predicted (1 from 0.5)."""
     keep = keep if keep is not None else ["doc_id"]
+    disjoint(keep, ["score", "predicted"])
     kept = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
     ddl = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes[1:]), "score double, predicted int"])
     return kept.mapInArrow(_scored(model, len(keep)), ddl)
