@@ -1,19 +1,24 @@
 """Exact top-k search by inner product over a vector-approximation file.
 
-Vectors become integers, floor(64 * x), padded with zeros to the longest. Every vector
-has a cell number for each component (32 cells between the least and the greatest value
-of that component). With a query's scores against the lower edges of the cells, and the
-cells' widths, come lower and upper bounds of all its inner products; exact vectors are
-read in the order of their upper bounds until the kth exact score is above what is left.
-
-Queries and candidates meet in a grid of blocks of bounded size, so that no task holds
-all of either and a common vector doesn't matter; each cell of the grid gives a query
-its k best, and the last step ranks those.
-
+Vectors become integers, floor(64 * x), padded with zeros to the longest. The
+approximation file is written once: of every vector one byte a component, the number of
+its cell among CELLS of equal width between the component's least and greatest value.
+Exact vectors stay in a table of their own, by row.
+
+Scan: queries meet the approximations, never the exact vectors, in a grid of blocks of
+bounded size, so that no task holds all of either and a common vector doesn't matter.
+The lower edges of the cells and their widths bound every inner product from both
+sides; a task keeps what reaches its k-th best lower bound, and over all tasks what
+reaches the k-th best lower bound of the query stays. Read: the exact vectors of the k
+best upper bounds are fetched by row; then of those others, in the order of upper bounds,
+that reach the k-th exact score, after which no vector left can change the result.
+
+Rows are candidates: rows that repeat a vec_id are candidates each, and, if the id is a
+query's, queries each; a query is no candidate of its own, other rows of its id are.
 Vectors that are null, empty or hold null or non-finite components take no part, nor do
-rows without id. If an id has several vectors, the least of them counts. Ties go to the
-smaller id. A query is no candidate of its own. Scores must fit in 62 bits: beyond, an
-error is raised rather than a wrong order given.
+rows without id. Ties go to the smaller id. Scores must fit in 62 bits: beyond, an error
+is raised rather than a wrong order given. An empty table, and one without a query, give an empty
+result; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -28,98 +33,100 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-SCALE, CELLS = 64.0, 32
-#: Rows of a packed block, candidates and queries of one cell of the grid (on average).
-BLOCK, CANDIDATES, QUERIES = 1024, 8192, 2048
+#: Cells of a component: as many as a byte has.
+SCALE, CELLS = 64.0, 256
+#: Rows of a packed block, candidates and queries of one cell of the grid (on average), and queries whose bounds are held at once.
+BLOCK, CANDIDATES, QUERIES, AT_ONCE = 1024, 16384, 2048, 64
 
 
-def _pack(dims: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(block, n, ids, vectors): rows of (id, values) in blocks of BLOCK."""
-        task, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                b = batch.slice(at, BLOCK)
-                x = np.zeros((b.num_rows, dims))
-                for i, v in enumerate(b.column(1)):
-                    v = v.values.to_numpy(zero_copy_only=False)
-                    x[i, : len(v)] = np.floor(SCALE * v.astype(np.float64))
-                ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([(task << 24) + n], pa.int64()), pa.array([b.num_rows], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["block", "n", "ids", "vectors"])
-                n += 1
+def integers(v: pa.ListScalar, dims: int) -> np.ndarray:
+    """floor(64 * x) of a vector, as doubles, padded."""
+    x = np.zeros(dims)
+    v = v.values.to_numpy(zero_copy_only=False)
+    x[: len(v)] = np.floor(SCALE * v.astype(np.float64))
+    return x
 
-    return run
+
+class Grid:
+    """Cells of equal width over each component's range."""
+
+    def __init__(self, lo: list[float], hi: list[float]):
+        self.lo = np.array(lo)
+        self.width = np.maximum(np.ceil((np.array(hi) - self.lo + 1) / CELLS), 1)
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.lo) // self.width).astype(np.uint8)
+
+    def edges(self, cells: np.ndarray) -> np.ndarray:
+        """The least integer of each cell; the greatest is width - 1 more."""
+        return self.lo + cells * self.width
 
 
 def _ranges(dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(dim, lo, hi) of the blocks' vectors."""
+        """(dim, lo, hi) of the vectors' integers."""
         lo, hi = np.full(dims, np.inf), np.full(dims, -np.inf)
         for batch in batches:
             for v in batch.column(0):
-                x = np.frombuffer(v.as_buffer()).reshape(-1, dims)
-                lo, hi = np.minimum(lo, x.min(0)), np.maximum(hi, x.max(0))
+                x = integers(v, dims)
+                lo, hi = np.minimum(lo, x), np.maximum(hi, x)
         if np.isfinite(lo).all():
             yield pa.RecordBatch.from_arrays([pa.array(range(dims), pa.int32()), pa.array(lo), pa.array(hi)], names=["dim", "lo", "hi"])
 
     return run
 
 
-class Grid:
-    """Cells of equal width over each component's range."""
+def _packed(dims: int, grid: Grid | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(block, rows, data) of (row, values) in blocks of BLOCK: the cells as bytes, or without a grid the integers."""
+        task, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                b = batch.slice(at, BLOCK)
+                x = np.stack([integers(v, dims) for v in b.column(1)])
+                data = x.tobytes() if grid is None else grid.cells(x).tobytes()
+                rows = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 24) + n], pa.int64()), pa.array([rows.tobytes()], pa.binary()), pa.array([data], pa.binary())], names=["block", "rows", "data"])
+                n += 1
 
-    def __init__(self, lo: np.ndarray, hi: np.ndarray):
-        self.lo = lo
-        self.width = np.maximum(np.ceil((hi - lo + 1) / CELLS), 1)
+    return run
 
-    def cells(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.lo) // self.width).astype(np.uint8)
 
-    def edges(self, cells: np.ndarray) -> np.ndarray:
-        """The least integer of each cell; the greatest is width - 1 more."""
-        return self.lo + cells * self.width
+def bounds(q: np.ndarray, edges: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of queries (rows of q) and cells: the products with the lower edges, and what to add to them for lower and upper bounds."""
+    return q @ edges.T, np.minimum(q, 0) @ slack, np.maximum(q, 0) @ slack
 
 
-def search(q: np.ndarray, own: int, ids: np.ndarray, edges: np.ndarray, slack: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (ids, scores) of one query, by score and then id."""
-    base = edges @ q
-    top = float(slack @ np.maximum(q, 0))
-    order = np.argsort(-base, kind="stable")
-    best, at, step = np.empty(0, np.int64), 0, 4 * k
-    got: list[np.ndarray] = []
-    while at < len(order):
-        some = order[at : at + step]
-        some = some[ids[some] != own]
-        at, step = at + step, 2 * step
-        got.append(some)
-        rows = np.concatenate(got)
-        scores = vectors[rows] @ q
-        best = np.lexsort((ids[rows], -scores))[:k]
-        if len(best) == k and at < len(order) and scores[best[-1]] > base[order[at]] + top:
-            break  # no vector left can reach the kth score
-        got = [rows[best]]
-    if not len(best):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    rows = np.concatenate(got) if len(got) > 1 else got[0]
-    scores = vectors[rows] @ q
-    best = np.lexsort((ids[rows], -scores))[:k]
-    return ids[rows][best], scores[best].astype(np.int64)
-
-
-def _cell(dims: int, lo: list[float], hi: list[float], k: int, exact: str):
+def _scanned(dims: int, grid: Grid, k: int, exact: str):
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        grid = Grid(np.array(lo), np.array(hi))
-        load = lambda t: (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t.column("ids")]), np.concatenate([np.frombuffer(x.as_buffer()).reshape(-1, dims) for x in t.column("vectors")]))
+        """(query, row, lower, upper) of the candidates that reach the k-th best lower bound of this cell."""
+        load = lambda t, dtype: (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t.column("rows")]), np.concatenate([np.frombuffer(x.as_buffer(), dtype).reshape(-1, dims) for x in t.column("data")]))
         out: list[tuple] = []
         if queries.num_rows and candidates.num_rows:
-            (qid, q), (ids, x) = load(queries), load(candidates)
-            edges, slack = grid.edges(grid.cells(x)), grid.width - 1
-            q, x, edges, slack = (v.astype(exact) for v in (q, x, edges, slack))
-            for i in range(len(qid)):
-                found, scores = search(q[i], qid[i], ids, edges, slack, x, k)
-                out.append((np.full(len(found), qid[i]), found, scores))
-        cols = [np.concatenate(c) if out else np.empty(0, np.int64) for c in (zip(*out, strict=True) if out else ((), (), ()))]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
+            (qid, q), (rows, cells) = load(queries, np.float64), load(candidates, np.uint8)
+            edges, slack, q = grid.edges(cells).astype(exact), (grid.width - 1).astype(exact), q.astype(exact)
+            for at in range(0, len(qid), AT_ONCE):
+                base, less, more = bounds(q[at : at + AT_ONCE], edges, slack)
+                for i, own in enumerate(qid[at : at + AT_ONCE]):
+                    others = np.flatnonzero(rows != own)
+                    lower = base[i, others] + less[i]
+                    least = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) > k else -np.inf
+                    some = base[i, others] + more[i] >= least
+                    out.append((np.full(int(some.sum()), own), rows[others[some]], lower[some].astype(np.int64), (base[i, others[some]] + more[i]).astype(np.int64)))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query", "row", "lower", "upper"), cols, strict=True)})
+
+    return run
+
+
+def _scores(dims: int, exact: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(query, row, vec_id, score) of (query, row, vec_id, v, w): exact inner products."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(at, BLOCK)
+                x, y = (np.stack([integers(v, dims) for v in b.column(c)]).astype(exact) for c in ("v", "w"))
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array((x * y).sum(1).astype(np.int64), pa.int64())], names=["query", "row", "vec_id", "score"])
 
     return run
 
@@ -131,28 +138,51 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vafile")
-    v = F.col(vector_col).cast("array<double>")
+    v = F.col(vector_col)
     sound = F.col(id_col).isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = scratch.table(vectors.where(sound).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(v).alias("v")), "rows")
+    # written, so that the numbers of rows are fixed
+    rows = scratch.table(vectors.where(sound).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), v.alias("v")), "rows")
+    asking = rows.where(is_query)
     total, asked, dims = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.max(F.size("v"))).first()
     if not asked:
         return spark.range(0).selectExpr("id as query_id", "cast(id as int) as rank", "id as vec_id", "id as score")
-    ddl = "block long, n long, ids binary, vectors binary"
-    blocks = scratch.table(rows.mapInArrow(_pack(dims), ddl), "blocks")
-    asking = scratch.table(rows.where(is_query).mapInArrow(_pack(dims), ddl), "queries")
-    found = blocks.select("vectors").mapInArrow(_ranges(dims), "dim int, lo double, hi double").groupBy("dim").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("dim").collect()
+    found = rows.select("v").mapInArrow(_ranges(dims), "dim int, lo double, hi double").groupBy("dim").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("dim").collect()
     lo, hi = [r["lo"] for r in found], [r["hi"] for r in found]
     # what a sum of products can reach decides in which type it is exact; the cells' edges go up to a width beyond
     most = sum((max(abs(a), abs(b)) + 2 * (b - a) / CELLS + 2) ** 2 for a, b in zip(lo, hi, strict=True))
     if most >= 2**62:
         raise ArithmeticError(f"inner products of up to {most:.3g} don't fit in 62 bits")
     exact = "float32" if most < 2**23 else "float64" if most < 2**52 else "int64"
+    grid = Grid(lo, hi)
 
+    ddl = "block long, rows binary, data binary"
+    cells = scratch.table(rows.select("row", "v").mapInArrow(_packed(dims, grid), ddl), "approximations")
+    queries = scratch.table(asking.select("row", "v").mapInArrow(_packed(dims, None), ddl), "queries")
     wide, high = -(-total // CANDIDATES), -(-asked // QUERIES)
     cell = lambda n, at: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int").alias(at)
-    q = asking.select("ids", "vectors", cell(high, "y"), F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("x"))
-    c = blocks.select("ids", "vectors", cell(wide, "x"), F.explode(F.sequence(F.lit(0), F.lit(high - 1))).alias("y"))
-    best = q.groupBy("x", "y").cogroup(c.groupBy("x", "y")).applyInArrow(_cell(dims, lo, hi, k, exact), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    out = scratch.table(best, "best").withColumn("rank", rank).where(F.col("rank") <= k)
+    q = queries.select("rows", "data", cell(high, "y"), F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("x"))
+    c = cells.select("rows", "data", cell(wide, "x"), F.explode(F.sequence(F.lit(0), F.lit(high - 1))).alias("y"))
+    near = q.groupBy("x", "y").cogroup(c.groupBy("x", "y")).applyInArrow(_scanned(dims, grid, k, exact), "query long, row long, lower long, upper long")
+    near = scratch.table(near, "scanned")
+
+    def kth(df: DataFrame, value: str, name: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(value)))
+        return df.select("query", value).withColumn("_place", place).where(F.col("_place") == k).select("query", F.col(value).alias(name))
+
+    near = near.join(kth(near, "lower", "least"), "query", "left").where("least is null or upper >= least")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("upper"), "row"))
+    near = scratch.table(near.select("query", "row", "upper", place.alias("place")), "near")
+
+    def read(some: DataFrame, name: str) -> DataFrame:
+        """Exact scores of (query, row), their vectors fetched by row."""
+        one, other = rows.select(F.col("row").alias("query"), "v"), rows.select("row", F.col("id").alias("vec_id"), F.col("v").alias("w"))
+        both = some.select("query", "row").join(other, "row").join(one, "query").select("query", "row", "vec_id", "v", "w")
+        return scratch.table(both.mapInArrow(_scores(dims, exact), "query long, row long, vec_id long, score long"), name)
+
+    first = read(near.where(F.col("place") <= k), "first")
+    rest = near.where(F.col("place") > k).join(kth(first, "score", "least"), "query").where("upper >= least")
+    scores = first.union(read(rest, "rest"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
+    best = scores.withColumn("rank", rank).where(F.col("rank") <= k)
+    out = best.join(asking.select(F.col("row").alias("query"), F.col("id").alias("query_id")), "query")
     return out.select("query_id", "rank", "vec_id", "score")
