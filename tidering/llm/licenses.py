@@ -4,7 +4,7 @@ Paragraphs become word n-grams of one to three words. They are the lines, and th
 lines between blank ones, joined without their comment marks, since licences are
 wrapped; a joined paragraph adds nothing to a line of its own that has the same family. A sparse multinomial
 logistic regression over the n-grams of the licence templates, trained on the driver
-from the templates, their variants and ordinary sentences, gives each licence family
+from short notices, the paragraphs of whole licences, their variants and ordinary sentences, gives each licence family
 and `unknown` a probability; a temperature and a least probability, calibrated on
 variants left out of training, decide what counts as unknown. A prediction is confirmed by comparing the
 paragraph with the family's templates: the share of a template's distinct n-grams that
@@ -12,15 +12,17 @@ the paragraph holds.
 
 Only n-grams with an anchor (a long word of a template, or a listed short one) have
 weights, so a paragraph without anchors is unknown, and its n-grams are never made. The
-others meet a broadcast table whose size the templates bound. Nothing is grouped by anything but a paragraph.
+others meet a broadcast table whose size the templates bound. Nothing is grouped by anything but a paragraph of a row.
 
-Null and empty texts have no paragraph and no finding. Rows that repeat are each
-scanned; rows without id are scanned like the others.
+Null and empty texts have no paragraph and no finding. Rows that repeat are scanned each,
+by themselves, and so are rows without id. Texts of any length are read whole. Of
+families of equal probability the first of the list counts. An empty table gives an empty
+result; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
-import math
+import json
 from functools import reduce
 
 import numpy as np
@@ -52,6 +54,60 @@ TEMPLATES = {
     "CC0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "Dedicated to the public domain under CC0 1.0", "SPDX-License-Identifier: CC0-1.0"],
     "proprietary": ["All rights reserved.", "Copyright (c) 2024 the authors. All rights reserved. Unauthorized copying of this file is strictly prohibited", "This software is proprietary and confidential"],
 }
+# Paragraphs of licences in full, by family.
+PARAGRAPHS = {
+    "MIT": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "BSD": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+        "SPDX-License-Identifier: ISC", "Released under the ISC License",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+        "SPDX-License-Identifier: Zlib",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ],
+    "Apache-2.0": [
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    ],
+    "GPL": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/",
+    ],
+    "LGPL": [
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation",
+    ],
+    "AGPL": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ],
+    "MPL-2.0": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "CC-BY": ["You are free to share, copy and redistribute the material in any medium or format, and adapt, remix, transform, and build upon the material for any purpose, even commercially, under the Creative Commons Attribution 4.0 terms."],
+    "CC-BY-SA": ["If you remix, transform, or build upon the material, you must distribute your contributions under the same license as the original, Creative Commons Attribution-ShareAlike."],
+    "CC-BY-NC": ["You may not use the material for commercial purposes under Creative Commons Attribution-NonCommercial."],
+    "CC0": ["The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"],
+}
+for _family, _texts in PARAGRAPHS.items():
+    TEMPLATES[_family] = [*TEMPLATES.get(_family, ()), *_texts]
 #: Letters of a word that is an anchor, and shorter words that are.
 ANCHOR_LETTERS = 5
 ANCHORS = ("gnu", "gpl", "lgpl", "agpl", "bsd", "cc", "cc0", "mpl")
@@ -61,14 +117,19 @@ ORDINARY = [
     "The software is free and the source is open to any person.", "All the documentation files are in the folder.", "Version 2 of the program was released in June.", "She reserved the rights to the story.", "The general public was not informed of the conditions.",
     "Modern forms of distribution are used with or without a label.", "The foundation published its report.", "Please sign the form under the line.", "It is subject to change.", "The creative work of the commons is shared.", "A clause of the law applies to the following case.",
     "The domain of the function is public.", "Notice of the meeting was given.", "The MIT campus is in Cambridge.", "An apache helicopter landed.", "The new server is a BSD machine.", "to the extent possible we share alike", "they redistribute food to people in need", "the copy of the letter is strictly private", "wir gehen mit der Familie und mit dem Hund nach Hause", "el trabajo general de la licencia", "la version de la source est publique",
+    "The notice on the door says that the office is closed.", "Her permission was not required for the use of the hall.", "The conditions in the following weeks were worse.", "The warranty of the car covers any damage in the first year.", "He is liable for the damages under the contract.",
+    "In no event was the court open on Sunday.", "The particular purpose of the meeting was to agree on a price.", "Copies of the book were distributed in the villages.", "The name of the holder is written on the card.", "Contributors to the journal are paid by the line.",
+    "All the rights of the author are described in the law.", "The original version of the story was published without the last chapter.", "You can obtain a copy at the counter.", "Anyone is free to use the commercial gate for any purpose.", "The distribution of water is subject to restrictions.",
+    "The documentation of the case must be plainly marked.", "The library is distributed over two floors.", "This program is shown on television every week.", "You should have received a letter along with this parcel.", "The foundation will write to the general assembly.",
 ]
 
 
 def _literal(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
-    """Rows as literals of the plan."""
+    """Rows as one literal of the plan, in JSON."""
     names = [c.split()[0] for c in ddl.split(", ")]
-    one = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, r, strict=True))) for r in rows))
-    return spark.range(1).select(F.inline(one))
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    kind = ", ".join(c.replace(" ", ": ", 1) for c in ddl.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
 
 
 def words_of(paragraph: Column) -> Column:
@@ -100,16 +161,22 @@ def _variants(family: str, text: str) -> list[tuple[str, str, int]]:
     return out + held
 
 
-def sparse_softmax(x: np.ndarray, y: np.ndarray, k: int, penalty: float = 3e-3, rounds: int = 3000) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and intercepts of an L1-penalised multinomial logistic regression, by proximal gradient."""
+def sparse_softmax(x: np.ndarray, y: np.ndarray, k: int, penalty: float = 2e-3, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and intercepts of an L1-penalised multinomial logistic regression, by accelerated proximal gradient."""
     n, p = x.shape
-    z, target = np.column_stack([np.ones(n), x]), np.eye(k)[y]
-    w = np.zeros((p + 1, k))
-    step = 2 * n / np.linalg.norm(z, 2) ** 2
+    z, target = np.column_stack([np.ones(n), x]).astype(np.float64), np.eye(k)[y]
+    w = v = np.zeros((p + 1, k))
+    u = np.ones(p + 1)
+    for _ in range(30):  # the largest eigenvalue bounds the curvature
+        u = z.T @ (z @ u)
+        u /= np.linalg.norm(u)
+    step, t = 2 * n / (np.linalg.norm(z @ u) ** 2 * 1.05), 1.0
     for _ in range(rounds):
-        e = np.exp((s := z @ w) - s.max(1, keepdims=True))
-        w -= step * (z.T @ (e / e.sum(1, keepdims=True) - target) / n)
-        w[1:] = np.sign(w[1:]) * np.maximum(np.abs(w[1:]) - step * penalty, 0)
+        e = np.exp((s := z @ v) - s.max(1, keepdims=True))
+        new = v - step * (z.T @ (e / e.sum(1, keepdims=True) - target) / n)
+        new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - step * penalty, 0)
+        t_ = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        v, w, t = new + (t - 1) / t_ * (new - w), new, t_
     return w[1:], w[0]
 
 
@@ -151,10 +218,10 @@ def train(spark: SparkSession) -> Classifier:
 def logits(rows: DataFrame, keys: list[str], c: Classifier) -> DataFrame:
     """(keys, z, held): the families' logits of each row (keys, grams) that holds a gram of the classifier, and its grams."""
     spark = rows.sparkSession
-    table = _literal(spark, [(g, *w) for g, w in zip(c.grams, c.weights, strict=True)], ", ".join(["gram string", *(f"w{i} double" for i in range(len(c.families)))]))
+    table = _literal(spark, list(zip(c.grams, c.weights, strict=True)), "gram string, weights array<double>")
     # the grams of the templates: a few hundred rows whatever the corpus
     hits = rows.select(*keys, F.explode(F.array_distinct("grams")).alias("gram")).join(F.broadcast(table), "gram")
-    sums = [F.round(F.sum(f"w{i}"), 9) + F.lit(float(b)) for i, b in enumerate(c.bias)]
+    sums = [F.round(F.sum(F.col("weights")[i]), 9) + F.lit(float(b)) for i, b in enumerate(c.bias)]
     return hits.groupBy(*keys).agg(F.array(*sums).alias("z"), F.collect_set("gram").alias("held"))
 
 
@@ -187,7 +254,7 @@ def scan(docs: DataFrame, classifier: Classifier | None = None, id_col: str = "d
     """
     spark = docs.sparkSession
     c = classifier or train(spark)
-    lines = paragraphs(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")))
+    lines = paragraphs(docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")))
     lines = lines.select("doc_id", "row", "paragraph", "last", F.xxhash64("line").alias("h"), words_of(F.col("line")).alias("w"))
     anchors = sorted({w for g in c.grams for w in g.split() if anchored(w)})
     lines = lines.where(F.arrays_overlap("w", F.array(*map(F.lit, anchors))))
