@@ -38,10 +38,47 @@ def test_edited_texts_and_fingerprints(spark, docs, sf):
     assert sum(r["near_edited"] > r["near_next"] for r in long) / len(long) > 0.97
 
 
+def _votes(text: str) -> int:
+    """The fingerprint by counting the votes for each bit: of the pairs of neighbouring words, XXH64 chained as Spark does."""
+    import struct
+
+    import xxhash
+
+    h = lambda data, seed: xxhash.xxh64_intdigest(data, seed=seed)
+    words = text.lower().split(" ")
+    pairs = [(a, b) for a, b in zip(words, words[1:], strict=False)] or [(words[0],)]
+    n = [0] * 128
+    for p in pairs:
+        t = 42
+        for w in p:
+            t = h(w.encode(), t)
+        u = h(struct.pack("<i", 1), h(struct.pack("<Q", t), 42))
+        for bit in range(128):
+            n[bit] += (t if bit < 64 else u) >> (bit % 64) & 1
+    bits = [2 * x > len(pairs) for x in n]
+    return sum(b << (63 - k if False else k) for k, b in enumerate(bits[:64])) << 64 | sum(b << k for k, b in enumerate(bits[64:]))
+
+
+def test_bits_equal_plain_votes_and_near_ones_are_counted(docs):
+    r = random.Random(12)
+    words = "one two three four five six seven eight nine ten".split()
+    texts = [" ".join(r.choice(words) for _ in range(r.choice([1, 2, 5, 60]))) for _ in range(30)]
+    long_ = [" ".join(r.choice(words) + str(r.randrange(50)) for _ in range(3000)) for _ in range(3)]
+    texts += [t.replace("one1 ", "two2 ", k) for t in long_ for k in range(6)] + texts[:5]
+    got = simhash.compare_edited(docs(texts)).collect()
+    want = {i: _votes(t) for i, t in enumerate(texts)}
+    assert {x["doc_id"]: int(x["fingerprint"], 16) for x in got} == want
+    some = set(want.values())
+    assert all(x["n_near"] == sum(0 < bin(want[x["doc_id"]] ^ f).count("1") <= simhash.RADIUS for f in some) for x in got)
+    assert any(x["n_near"] > 1 for x in got)
+
+
 def test_repeated_rows_and_none(docs):
-    rows = [(1, "a b c", None, None)] * 3 + [(2, "d e f", None, None)]
+    rows = [(1, "a b c", None, None)] * 3 + [(2, "d e f", None, None)] * 4 + [(2, "d e g", None, None)]
     got = simhash.compare_edited(docs(rows)).collect()
-    assert sorted(r["doc_id"] for r in got) == [1, 1, 1, 2]
+    assert sorted(r["doc_id"] for r in got) == [1, 1, 1, 2, 2, 2, 2, 2]
+    odd = docs(rows).selectExpr("*", "'x' as h", "1 as fp0", "2 as lent", "3 as next_id", "4 as copies")
+    assert sorted(map(tuple, simhash.compare_edited(odd).collect())) == sorted(map(tuple, got))
     assert simhash.compare_edited(docs([])).count() == 0
 
 

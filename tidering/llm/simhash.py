@@ -9,17 +9,20 @@ fingerprint is set if more than half of the votes are for it.
 Fingerprints within a Hamming radius are found by permuted block tables: the bits are
 cut into radius + EXTRA_BLOCKS blocks, and for each choice of EXTRA_BLOCKS of them there
 is a table keyed by those blocks; two fingerprints that differ in radius bits at most
-agree on all blocks of some choice. Equal fingerprints are one row of the tables.
+agree on all blocks of some choice. Equal fingerprints are one row of the tables, and a
+pair is made in the first table only in which it agrees.
 
 Texts without a word have the fingerprint of all zeros, as have null texts, which count
 as empty. Likeness is 1 less the share of differing bits. The next document in
 descending order of the id is taken from range partitions; rows without id come last;
 rows of one id are ordered by length and hash. Rows with equal id and text are counted,
-handled once and repeated in the result.
+handled once and repeated in the result. Texts of any length are read whole, an empty
+table gives an empty result, and other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, in_order
 
 BITS = 128
+#: Bits that near fingerprints differ in at most.
+RADIUS = 3
 _LANES = 0x100000001
 EXTRA_BLOCKS = 2
 
@@ -68,7 +73,7 @@ def likeness(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return 1 - distance(a0, a1, b0, b1) / float(BITS)
 
 
-def within(fps: DataFrame, radius: int = 3) -> DataFrame:
+def within(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs (a0, a1, b0, b1, distance) of distinct fingerprints at most radius bits apart, each once.
 
     fps: any rows with fp0 and fp1; those that are null are left out. The rows of a
@@ -79,23 +84,34 @@ def within(fps: DataFrame, radius: int = 3) -> DataFrame:
     one = fps.where("fp0 is not null and fp1 is not null").select("fp0", "fp1").distinct()
     blocks = radius + EXTRA_BLOCKS
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
 
-    def masks(block: int) -> tuple[int, int]:
+    def masked(block: int, x0: Column, x1: Column) -> list[Column]:
+        """What of a block is in each word, where it has bits there."""
         bits = sum(1 << b for b in range(edges[block], edges[block + 1]))
-        return bits & (2**64 - 1), bits >> 64
+        return [x.bitwiseAND(F.lit(signed(m))) for x, m in ((x0, bits & (2**64 - 1)), (x1, bits >> 64)) if m]
 
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    tables = []
-    for n, some in enumerate(combinations(range(blocks), EXTRA_BLOCKS)):
-        m0, m1 = (signed(sum(masks(b)[i] for b in some)) for i in (0, 1))
-        tables.append(F.struct(F.lit(n).alias("n"), F.col("fp0").bitwiseAND(F.lit(m0)).alias("k0"), F.col("fp1").bitwiseAND(F.lit(m1)).alias("k1")))
-    rows = one.select("fp0", "fp1", F.explode(F.array(*tables)).alias("k"))
-    a = rows.select(F.col("fp0").alias("a0"), F.col("fp1").alias("a1"), "k")
-    b = rows.select(F.col("fp0").alias("b0"), F.col("fp1").alias("b1"), F.col("k").alias("l"))
+    tables = list(combinations(range(blocks), EXTRA_BLOCKS))
+    keys = [F.xxhash64(F.lit(n), *(c for b in some for c in masked(b, F.col("fp0"), F.col("fp1")))) for n, some in enumerate(tables)]
+    rows = one.select("fp0", "fp1", F.posexplode(F.array(*keys)).alias("n", "key"))
+    a = rows.select(F.col("fp0").alias("a0"), F.col("fp1").alias("a1"), "n", "key")
+    b = rows.select(F.col("fp0").alias("b0"), F.col("fp1").alias("b1"), F.col("n").alias("m"), F.col("key").alias("l"))
     d = distance(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1"))
     less = (F.col("a0") < F.col("b0")) | ((F.col("a0") == F.col("b0")) & (F.col("a1") < F.col("b1")))
-    same = [F.col(f"k.{x}") == F.col(f"l.{x}") for x in ("n", "k0", "k1")]
-    return a.join(b, same[0] & same[1] & same[2] & less & (d <= radius)).select("a0", "a1", "b0", "b1", d.alias("distance")).distinct()
+    x0, x1 = F.col("a0").bitwiseXOR(F.col("b0")), F.col("a1").bitwiseXOR(F.col("b1"))
+    agree = [reduce(lambda p, q: p & q, [c == 0 for c in masked(k, x0, x1)]) for k in range(blocks)]
+    # of a pair's agreeing blocks the first ones name its table; keys that are equal by chance agree in none
+    first = F.lit(-1)
+    for n, some in reversed(list(enumerate(tables))):
+        first = F.when(reduce(lambda p, q: p & q, [agree[k] for k in some]), F.lit(n)).otherwise(first)
+    return a.join(b, (F.col("key") == F.col("l")) & (F.col("n") == F.col("m")) & less & (d <= radius) & (F.col("n") == first)).select("a0", "a1", "b0", "b1", d.alias("distance"))
+
+
+def near_counts(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp0, fp1, n_near) of the fingerprints with others within radius: how many."""
+    pairs = within(fps, radius)
+    ends = F.array(F.struct(F.col("a0").alias("fp0"), F.col("a1").alias("fp1")), F.struct(F.col("b0").alias("fp0"), F.col("b1").alias("fp1")))
+    return pairs.select(F.explode(ends).alias("e")).groupBy("e.fp0", "e.fp1").agg(F.count(F.lit(1)).alias("n_near"))
 
 
 def following(scratch: Scratch, ids: DataFrame) -> DataFrame:
@@ -112,10 +128,11 @@ def following(scratch: Scratch, ids: DataFrame) -> DataFrame:
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """For each row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as
-    many, or all, of the next document in descending order of the id.
+    many, or all, of the next document in descending order of the id. n_near counts the
+    other fingerprints of the table within RADIUS bits, found by the block tables.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -127,6 +144,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # both joins take the same exchange of the texts; only what the edited text needs of the next document moves again
     needs = facts.select(F.col("next_id").alias("i"), F.col("next_h").alias("g"), F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"), F.floor(F.col("n_chars") / 2).cast("int").alias("take"))
     lent = texts.join(needs, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).select("to_id", "to_h", F.substring("text", F.lit(1), F.col("take")).alias("lent"))
+    lent = lent.dropDuplicates(["to_id", "to_h"])  # rows that repeat lend once
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), "lent")
     both = texts.join(lent, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("h") == F.col("to_h"))).select("doc_id", "h", edited.alias("text"))
@@ -139,9 +157,11 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = facts
     for t, p, keys in ((own, "own", ("doc_id", "h")), (changed, "edit", ("doc_id", "h")), (own, "then", ("next_id", "next_h"))):
         out = out.join(named(t, p), F.col(keys[0]).eqNullSafe(F.col(f"{p}_i")) & (F.col(keys[1]) == F.col(f"{p}_h")), "left")
+    near = near_counts(own).select(F.col("fp0").alias("n_0"), F.col("fp1").alias("n_1"), "n_near")
+    out = out.join(near, (F.col("own_fp0") == F.col("n_0")) & (F.col("own_fp1") == F.col("n_1")), "left")
     fp = lambda p: (F.col(f"{p}_fp0"), F.col(f"{p}_fp1"))
     out = out.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.col("edit_sha").alias("edited_sha256"), text_of(*fp("own")).alias("fingerprint"), text_of(*fp("edit")).alias("edited_fingerprint"),
-        likeness(*fp("own"), *fp("edit")).alias("near_edited"), likeness(*fp("own"), *fp("then")).alias("near_next"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"),
+        likeness(*fp("own"), *fp("edit")).alias("near_edited"), likeness(*fp("own"), *fp("then")).alias("near_next"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"),
     )
     return out.drop("_copy")
