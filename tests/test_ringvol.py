@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import io
+import os
 
+import numpy as np
 import pytest
 import volumes as V
 from pyspark.sql import functions as F
 
 from tidering import cli
 from tidering.errors import RingError
+from tidering.functions.codecs import Codec
+from tidering.sources import media as M
 from tidering.sources import ringvol
 from tidering.sources.media import FRAMED_PROFILE, Options
 from tidering.sources.storage import FileStorage, MemoryStorage
@@ -80,6 +84,148 @@ def test_batch_sink_appends_in_order(spark, tmp_path):
     assert not list(tmp_path.glob("*.staged-*"))
 
 
+def _filled(path, times, **options):
+    w = Writer(FileStorage(path, writable=True), Options(record_format_id=FRAMED_PROFILE[0], record_format_version=1, **options))
+    for t in times:
+        w.append_framed(t, 1, 0, b"%d" % t)
+        w.publish()
+    w.close()
+
+
+def test_extreme_times_pass_every_bound(spark, tmp_path):
+    least, most = -(2**63), 2**63 - 1
+    p = _volume(tmp_path / "v")
+    _filled(p, [least, 5, most])
+    q = _read(spark, p).where("kind = 'data'")
+    times = lambda df: sorted(r["index_time_ns"] for r in df.collect())
+    assert times(q) == [least, 5, most]
+    t = F.col("index_time_ns")
+    assert times(q.where(t >= 5)) == [5, most] and times(q.where(t > 5)) == [most] and times(q.where(t == most)) == [most] and times(q.where(t <= least)) == [least] and times(q.where((t >= least) & (t <= most))) == [least, 5, most]
+    assert times(q.where(t < least)) == [] and times(q.where(t > most)) == []
+
+
+def test_a_read_is_of_the_snapshot_it_was_planned_on(spark, tmp_path):
+    """Neither a record that is appended after planning nor a rotation changes what its tasks read, however often they do."""
+    p = _volume(tmp_path / "v")
+    _filled(p, range(5))
+    reader = ringvol.Reader({"path": p})
+    parts = reader.partitions()
+    read = lambda: [t for part in parts for b in reader.read(part) for t in b.column("index_time_ns").to_pylist()]
+    assert read() == list(range(5))
+    _filled(p, range(5, 9))
+    assert read() == list(range(5))
+    w = Writer(FileStorage(p, writable=True))
+    w.rotate()
+    w.close()
+    assert read() == list(range(5)) and _read(spark, p).where("kind = 'data'").count() == 9
+    for _ in range(4):  # the slot is used again
+        w = Writer(FileStorage(p, writable=True))
+        w.append(b"x", 0)
+        w.rotate()
+        w.close()
+    assert [k for part in parts for b in reader.read(part) for k in b.column("kind").to_pylist()] == ["overwritten_gap"]
+
+
+def test_tasks_read_their_partition_only(tmp_path, monkeypatch):
+    p = _volume(tmp_path / "v")
+    for n in range(3):
+        _filled(p, [n])
+        w = Writer(FileStorage(p, writable=True))
+        w.rotate(Options(record_format_id=FRAMED_PROFILE[0], record_format_version=1))
+        w.close()
+    reader = ringvol.Reader({"path": p})
+    parts = reader.partitions()
+    seen = []
+    real = FileStorage.read_at
+    monkeypatch.setattr(FileStorage, "read_at", lambda self, offset, size: seen.append(offset) or real(self, offset, size))
+    for part in parts:
+        seen.clear()
+        list(reader.read(part))
+        begin = 8192 + part.state.partition.slot * 65536
+        assert seen and all(begin <= x < begin + 65536 for x in seen)
+
+
+REVERSED = {(9, 1): Codec(9, 1, lambda b: b[::-1][: len(b) - 1] if len(set(b[:1] + b[-1:])) == 1 else b, lambda b, n: b[:1] + b[::-1] if len(b) < n else b, lambda n: n)}
+
+
+def _lines(block: bytes):
+    """A record profile of its own: lines of `time selector text`."""
+    rows = [x.split(b" ", 2) for x in block.splitlines()]
+    data = np.frombuffer(b"".join(bytes(32) + r[2] for r in rows), np.uint8)
+    sizes = np.array([32 + len(r[2]) for r in rows], np.int64)
+    return M.Frames(data, np.cumsum(sizes) - sizes, sizes, np.array([int(r[0]) for r in rows], np.int64), np.array([int(r[1]) for r in rows], np.uint64), np.zeros(len(rows), np.uint16))
+
+
+LINES = {(77, 1): _lines}
+
+
+def test_profiles_and_codecs_are_options(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("PYTHONPATH", f"{os.path.dirname(__file__)}{os.pathsep}{os.environ.get('PYTHONPATH', '')}")
+    p = _volume(tmp_path / "v")
+    _filled(p, [1, 2])
+    w = Writer(FileStorage(p, writable=True), registry=REVERSED)
+    w.rotate(Options(9, 1, record_format_id=77, record_format_version=1))
+    w.append(b"10 4 hello\n", 10, contract=(77, 1, 1))
+    w.append(b"11 5 all\n", 11, contract=(77, 1, 1))
+    w.close()
+    here = f"{__name__}:"
+    with pytest.raises(RingError, match="unsupported"):
+        list(ringvol.Reader({"path": p}).partitions())
+    reader = ringvol.Reader({"path": p, "codecs": here + "REVERSED", "profiles": here + "LINES"})
+    got = [r for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
+    assert [(r["index_time_ns"], int(r["selector"]), r["payload"]) for r in got] == [(1, 1, b"1"), (2, 1, b"2"), (10, 4, b"hello"), (11, 5, b"all")]
+    skipping = ringvol.Reader({"path": p, "codecs": here + "REVERSED", "other_profiles": "skip"})
+    assert [t for part in skipping.partitions() for b in skipping.read(part) for t in b.column("index_time_ns").to_pylist()] == [1, 2]
+    failing = ringvol.Reader({"path": p, "codecs": here + "REVERSED"})
+    with pytest.raises(RingError, match="unsupported"):
+        [list(failing.read(part)) for part in failing.partitions()]
+    with pytest.raises(RingError, match="registry"):
+        ringvol.Reader({"path": p, "codecs": "no.such:thing"})
+
+
+def test_a_repeated_commit_writes_nothing_twice(tmp_path, monkeypatch):
+    """The first commit fails at every point in turn, between the note, the appends and the note after them; the second makes up for it."""
+    import pyarrow as pa
+
+    def staged(sink, n):
+        files = []
+        for k in range(2):
+            files.append(f"{sink.path}.staged-{n}-{k}")
+            rows = [(i, i, 1, 0, b"%d" % i) for i in range(n * 50, n * 50 + 50) if i % 2 == k]
+            table = pa.table({c: pa.array(v, t) for (c, t), v in zip({"ordinal": pa.int64(), "t": pa.int64(), "s": pa.uint64(), "f": pa.int32(), "p": pa.binary()}.items(), zip(*rows, strict=True), strict=True)})
+            with pa.OSFile(files[-1], "wb") as out, pa.ipc.new_file(out, table.schema) as w:
+                w.write_table(table)
+        return [ringvol.Staged(0, files)]
+
+    class Crash(Exception):
+        pass
+
+    for point in range(24):
+        p = _volume(tmp_path / f"v{point}")
+        sink = ringvol.StreamWriter({"path": p, "checkpoint_every": "7"})
+        sink.commit(staged(sink, 0), 0)
+        left = [point]
+
+        def maybe(left=left):
+            left[0] -= 1
+            if left[0] < 0:
+                raise Crash
+
+        with monkeypatch.context() as m:
+            for cls, name in ((FileStorage, "write_at"), (FileStorage, "flush"), (ringvol.StreamWriter, "_note")):
+                real = getattr(cls, name)
+                m.setattr(cls, name, lambda self, *a, real=real: (maybe(), real(self, *a))[1])
+            try:
+                sink.commit(staged(sink, 1), 1)
+            except Crash:
+                pass
+        again = ringvol.StreamWriter({"path": p, "checkpoint_every": "7"})
+        again.commit(staged(again, 1), 1)
+        again.commit(staged(again, 1), 1)
+        again.commit(staged(again, 2), 2)
+        assert [r[3] for r in query_records(Snapshot(FileStorage(p)), 0, 10**9, 1)] == list(range(150)), point
+
+
 def test_streams(spark, tmp_path):
     ringvol.register(spark)
     source, target = _volume(tmp_path / "s"), _volume(tmp_path / "t")
@@ -113,7 +259,7 @@ def test_stream_reports_what_was_overwritten(tmp_path):
     w.close()
     r = ringvol.StreamReader({"path": p, "mode": "blocks"})
     parts = r.partitions({"generation": 1, "sequence": 0}, r.latestOffset())
-    kinds = [e[0] for part in parts for e in r.read(part)]
+    kinds = [k for part in parts for b in r.read(part) for k in b.column(0).to_pylist()]
     assert kinds.count("overwritten_gap") == 3 and kinds.count("data") == 1
 
 

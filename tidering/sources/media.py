@@ -10,8 +10,11 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+
 from ..errors import RingError
-from ..functions.codecs import Codec, codec, crc32c, crc32c_zeroed
+from ..functions.codecs import Codec, codec, crc32c, crc32c_rows, crc32c_spans, crc32c_zeroed
 
 # Fixed values of the format: magics, version, sizes, feature kinds, the framed record profile.
 MAGIC = {"volume": b"TFDBVOL1", "partition": b"TFDBPAR1", "block": b"TFDBBLK1", "footer": b"TFDBFTR1"}
@@ -240,26 +243,119 @@ def decode_entries(data: bytes) -> list[dict]:
 
 # ---- framed records
 
+_HEAD = np.dtype([("size", "<u4"), ("header", "<u2"), ("flags", "<u2"), ("time_ns", "<i8"), ("selector", "<u8"), ("payload", "<u4"), ("crc", "<u4")])
+
+
+@dataclass(frozen=True)
+class Frames:
+    """The records of a block by columns; starts and sizes are their places in data, envelopes included."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    times: np.ndarray
+    selectors: np.ndarray
+    flags: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def encoded(self, some: np.ndarray | None = None) -> pa.Array:
+        """The records as they are stored, all or those of the given numbers."""
+        return _spans(self.data, self.starts if some is None else self.starts[some], self.sizes if some is None else self.sizes[some])
+
+    def payloads(self, some: np.ndarray | None = None) -> pa.Array:
+        starts, sizes = (self.starts, self.sizes) if some is None else (self.starts[some], self.sizes[some])
+        return _spans(self.data, starts + ENVELOPE, sizes - ENVELOPE)
+
+
+def _spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Spans of an array of bytes as a binary column."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    if len(starts) and int(starts[-1] + sizes[-1] - starts[0]) == total:
+        flat = data[int(starts[0]) : int(starts[0]) + total]
+    else:
+        flat = data[np.repeat(starts - ends + sizes, sizes) + np.arange(total)]
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def frames_encode(times: np.ndarray, selectors: np.ndarray, flags: np.ndarray, payload_sizes: np.ndarray, payloads: np.ndarray) -> Frames:
+    """Framed records from columns; payloads is the bytes of all of them, one after the other."""
+    n, sizes = len(times), payload_sizes.astype(np.int64) + ENVELOPE
+    starts = np.cumsum(sizes) - sizes
+    data = np.empty(int(sizes.sum()), np.uint8)
+    head = np.zeros(n, _HEAD)
+    for name, values in (("size", sizes), ("header", ENVELOPE), ("flags", flags), ("time_ns", times), ("selector", selectors), ("payload", payload_sizes)):
+        head[name] = values
+    same = n and bool((sizes == sizes[0]).all())
+    if same:
+        m = data.reshape(n, int(sizes[0]))
+        m[:, :ENVELOPE], m[:, ENVELOPE:] = head.view(np.uint8).reshape(n, ENVELOPE), payloads.reshape(n, -1)
+        crc = crc32c_rows(m)
+        m[:, 28:32] = crc.astype("<u4").view(np.uint8).reshape(n, 4)
+    elif n:
+        at = starts[:, None] + np.arange(ENVELOPE)
+        held = np.ones(len(data), bool)
+        held[at] = False
+        data[at], data[held] = head.view(np.uint8).reshape(n, ENVELOPE), payloads
+        data[starts[:, None] + np.arange(28, 32)] = crc32c_spans(data, starts, sizes).astype("<u4").view(np.uint8).reshape(n, 4)
+    return Frames(data, starts, sizes, times, selectors, flags)
+
+
+def frames_decode(block: bytes) -> Frames:
+    """The records of a block, all of them or an error."""
+    data = np.frombuffer(block, np.uint8)
+    total = len(data)
+    if not total:
+        none = np.empty(0, np.int64)
+        return Frames(data, none, none, none, none.astype(np.uint64), none.astype(np.uint16))
+    if total < ENVELOPE:
+        raise corrupt("record: a suffix shorter than an envelope")
+    first = int.from_bytes(block[:4], "little")
+    head = None
+    if first >= ENVELOPE and total % first == 0:
+        m = data.reshape(-1, first)
+        head = np.ascontiguousarray(m[:, :ENVELOPE]).view(_HEAD).ravel()
+        if (head["size"] != first).any():
+            head = None
+    if head is not None:
+        starts = np.arange(0, total, first, dtype=np.int64)
+    else:
+        at, places = 0, []
+        while at < total:
+            if total - at < ENVELOPE:
+                raise corrupt("record: a suffix shorter than an envelope")
+            size = int.from_bytes(block[at : at + 4], "little")
+            if size < ENVELOPE or size > total - at:
+                raise corrupt("record: sizes")
+            places.append(at)
+            at += size
+        starts = np.array(places, np.int64)
+        head = np.ascontiguousarray(data[starts[:, None] + np.arange(ENVELOPE)]).view(_HEAD).ravel()
+    sizes = head["size"].astype(np.int64)
+    if ((head["header"] != ENVELOPE) | (head["payload"].astype(np.int64) != sizes - ENVELOPE)).any():
+        raise corrupt("record: sizes")
+    if (sizes == sizes[0]).all():
+        m = data.reshape(-1, int(sizes[0])).copy()
+        m[:, 28:32] = 0
+        crc = crc32c_rows(m)
+    else:
+        cleared = data.copy()
+        cleared[starts[:, None] + np.arange(28, 32)] = 0
+        crc = crc32c_spans(cleared, starts, sizes)
+    if (crc != head["crc"]).any():
+        raise corrupt("record: checksum")
+    return Frames(data, starts, sizes, head["time_ns"].astype(np.int64), head["selector"].astype(np.uint64), head["flags"].astype(np.uint16))
+
 
 def frame_encode(time_ns: int, selector: int, flags: int, payload: bytes) -> bytes:
     head = _FRAME.pack(ENVELOPE + len(payload), ENVELOPE, flags, time_ns, selector, len(payload), 0)
-    whole = bytearray(head + payload)
-    struct.pack_into("<I", whole, 28, crc32c(bytes(whole)))
-    return bytes(whole)
+    return head[:28] + crc32c(head + payload).to_bytes(4, "little") + payload
 
 
 def frame_decode(block: bytes) -> list[tuple[int, int, int, bytes, bytes]]:
     """(time, selector, flags, payload, encoded) of each record; all of a block or an error."""
-    out, at = [], 0
-    while at < len(block):
-        if len(block) - at < ENVELOPE:
-            raise corrupt("record: a suffix shorter than an envelope")
-        size, header, flags, time_ns, selector, n, crc = _FRAME.unpack_from(block, at)
-        whole = block[at : at + size]
-        if header != ENVELOPE or size != ENVELOPE + n or len(whole) != size:
-            raise corrupt("record: sizes")
-        if crc32c_zeroed(whole, 28) != crc:
-            raise corrupt("record: checksum")
-        out.append((time_ns, selector, flags, whole[ENVELOPE:], whole))
-        at += size
-    return out
+    f = frames_decode(block)
+    return list(zip(f.times.tolist(), f.selectors.tolist(), f.flags.tolist(), f.payloads().to_pylist(), f.encoded().to_pylist(), strict=True))

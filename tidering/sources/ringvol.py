@@ -11,20 +11,28 @@ verify        lazy or strict (default: lazy)
 on_gap        continue, or fail at the first gap (default: continue)
 payload       false leaves blocks undecoded, for modes blocks and partitions
 begin, end, time_domain   a range query; filters on the columns are pushed down as well
+codecs, profiles   module:name of a dict of further codecs, or of decoders of record profiles, by (id, version)
+other_profiles     fail at a block of a profile without a decoder, or skip it (default: fail)
+size          of the volume, where the path is a device that doesn't tell
 
-A range or domain never hides the gap of a damaged header. A filter on a column that
+A read is of one snapshot, taken when it is planned: what is appended afterwards is not
+in it, and tasks that are repeated read the same again. A range or domain never hides the gap of a damaged header. A filter on a column that
 gaps don't have drops them, as SQL has it; mode gaps has them alone.
 """
 
 from __future__ import annotations
 
-import decimal
 import glob
+import heapq
+import importlib
 import json
 import os
 import uuid
 from collections.abc import Iterator
+from dataclasses import replace
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
@@ -34,18 +42,42 @@ from .. import schema
 from ..errors import RingError, invalid
 from . import media as M
 from .storage import FileStorage
-from .volume import Event, Snapshot, Writer
+from .volume import PROFILES, Event, Snapshot, State, Writer, chosen, frames_of, summary
 
 MODES = {"volume": schema.VOLUME, "partitions": schema.PARTITIONS, "blocks": schema.BLOCK_EVENTS, "gaps": schema.BLOCK_EVENTS, "records": schema.RECORD_EVENTS}
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
-def _columns(mode: str) -> list[str]:
-    return [c.split()[0] for c in MODES[mode].split(", ")]
+#: Rows in a batch of a sink, and in a run that a sink's task sorts.
+BATCH_ROWS, RUN_ROWS = 4096, 100_000
+_TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "decimal(20,0)": pa.decimal128(20, 0)}
 
 
-def _u64(x: int) -> decimal.Decimal:
-    return decimal.Decimal(x)
+def _schema(mode: str) -> pa.Schema:
+    return pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in MODES[mode].split(", ")])
+
+
+def _unsigned(x: np.ndarray) -> pa.Array:
+    """Unsigned 64-bit numbers as decimals, which have 16 bytes each."""
+    wide = np.zeros((len(x), 2), np.uint64)
+    wide[:, 0] = x
+    return pa.Array.from_buffers(pa.decimal128(20, 0), len(x), [None, pa.py_buffer(wide)])
+
+
+def _batch(mode: str, rows: list[tuple]) -> pa.RecordBatch:
+    schema_ = _schema(mode)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema_, strict=True)], schema=schema_)
+
+
+def named(path: str | None) -> dict | None:
+    """The dict that module:name stands for."""
+    if not path:
+        return None
+    module, _, name = path.partition(":")
+    try:
+        return dict(getattr(importlib.import_module(module), name))
+    except (ImportError, AttributeError, TypeError, ValueError) as e:
+        raise invalid(f"{path!r} names no registry: {e}") from e
 
 
 def volumes_of(path: str) -> list[str]:
@@ -60,11 +92,17 @@ def volumes_of(path: str) -> list[str]:
 
 
 class Part(InputPartition):
-    """A slot of one generation of a volume, or with slot None what belongs to the whole volume."""
+    """A partition of a volume as it was planned, or with state None what belongs to the whole volume.
+
+    rows: what the plan knows already, of modes volume and partitions; damaged: slots whose headers are; gone: a generation
+    that isn't there any more. after and upto bound the block sequences.
+    """
 
-    def __init__(self, path: str, slot: int | None, generation: int, order: int, after: int = -1, upto: int = M.U64):
+    def __init__(self, path: str, volume: M.Volume | None = None, state: State | None = None, order: int = -1, after: int = -1, upto: int = M.U64, damaged: list[int] | None = None, rows: list[tuple] | None = None, gone: tuple[int, int] | None = None):
         super().__init__(None)
-        self.path, self.slot, self.generation, self.order, self.after, self.upto = path, slot, generation, order, after, upto
+        self.path, self.volume, self.order, self.after, self.upto = path, volume, order, after, upto
+        self.state = replace(state, index=None) if state else None
+        self.damaged, self.rows, self.gone = damaged or [], rows or [], gone
 
 
 class Request:
@@ -77,6 +115,10 @@ class Request:
         self.decode = get("payload", "true") != "false"
         if self.mode not in MODES:
             raise invalid(f"no mode {self.mode!r}")
+        self.codecs, self.profiles = named(get("codecs")), named(get("profiles"))
+        self.skip, self.size = get("other_profiles", "fail") == "skip", int(get("size"), 0) if get("size") else None
+        if get("other_profiles", "fail") not in ("fail", "skip"):
+            raise invalid("other_profiles is fail or skip")
         if get("verify", "lazy") not in ("lazy", "strict") or get("on_gap", "continue") not in ("continue", "fail"):
             raise invalid("verify is lazy or strict, on_gap continue or fail")
         self.domain = int(get("time_domain"), 0) if get("time_domain") else None
@@ -104,90 +146,109 @@ class Request:
         elif name == "time_domain_id" and isinstance(f, EqualTo) and self.domain is None:
             self.domain = int(f.value)
 
+    def snapshot(self, path: str, strict: bool = False) -> Snapshot:
+        s = FileStorage(path, size=self.size)
+        try:
+            return Snapshot(s, strict, self.codecs)
+        finally:
+            s.close()
+
     def plan(self) -> list[Part]:
         parts: list[Part] = []
         for path in volumes_of(self.path):
-            s = FileStorage(path)
-            try:
-                snap = Snapshot(s, self.strict)
-            finally:
-                s.close()
-            if self.mode in ("volume", "partitions"):
-                parts.append(Part(path, None, 0, 0))
+            snap = self.snapshot(path, self.strict)
+            v = snap.volume
+            if self.mode == "volume":
+                parts.append(Part(path, rows=[(v.id, v.volume_size, v.partition_size, v.partition_count, v.index_region_size, v.max_block_payload, v.persistence_quantum, v.created_time_ns)]))
+                continue
+            if self.mode == "partitions":
+                parts.append(Part(path, rows=[_partition(st) for st in snap.states]))
                 continue
             if snap.damaged:
-                parts.append(Part(path, None, 0, -1))
-            parts += [Part(path, st.partition.slot, st.partition.generation, n) for n, st in enumerate(snap.states) if self.domain is None or st.partition.options.time_domain_id == self.domain]
-        return parts or [Part("", None, 0, -2)]
-
-    def read(self, part: Part) -> Iterator[tuple]:
-        if not part.path:
+                parts.append(Part(path, v, damaged=snap.damaged))
+            parts += [Part(path, v, st, n) for n, st in enumerate(snap.states) if self.domain is None or st.partition.options.time_domain_id == self.domain]
+        return parts or [Part("")]
+
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        if part.rows:
+            yield _batch(self.mode, part.rows)
+        if part.volume is None and not part.gone:
+            return
+        rows: list[tuple] = []
+        size = 0
+        for e in self._events(part):
+            if e.kind != "data" and self.fail:
+                if rows:
+                    yield _batch(self.mode, rows)
+                raise RingError("overwritten" if e.kind == "overwritten_gap" else "corrupt", e.error.message if e.error else e.kind)
+            if self.mode == "records" and e.kind == "data":
+                if rows:  # a gap that comes before
+                    yield _batch(self.mode, rows)
+                    rows = []
+                if (batch := self._records(part, e)) is not None:
+                    yield batch
+            elif self.mode != "gaps" or e.kind != "data":
+                rows.append(self._row(part, e))
+                size += len(e.data or b"")
+                if len(rows) >= BATCH_ROWS or size >= 16 << 20:
+                    yield _batch(self.mode, rows)
+                    rows, size = [], 0
+        if rows:
+            yield _batch(self.mode, rows)
+
+    def _events(self, part: Part) -> Iterator[Event]:
+        if part.gone:
+            yield Event("overwritten_gap", *part.gone, error=RingError("overwritten", "reused since it was due"))
             return
-        s = FileStorage(part.path)
+        s = FileStorage(part.path, size=self.size)
         try:
-            snap = Snapshot(s)
-            if self.mode == "volume":
-                v = snap.volume
-                yield v.id, v.volume_size, v.partition_size, v.partition_count, v.index_region_size, v.max_block_payload, v.persistence_quantum, v.created_time_ns
-            elif self.mode == "partitions":
-                yield from map(self._partition, (snap for _ in snap.states), snap.states)
-            else:
-                for e in self._events(snap, part):
-                    if e.kind != "data" and self.fail:
-                        raise RingError("overwritten" if e.kind == "overwritten_gap" else "corrupt", e.error.message if e.error else e.kind)
-                    yield from self._rows(part, e)
+            snap = Snapshot.planned(s, part.volume, [part.state] if part.state else [], part.damaged, self.codecs)
+            yield from snap.gaps()
+            if part.state is None or self.lo > self.hi:
+                return
+            whole = (self.lo, self.hi) == (LEAST, MOST)
+            for e in snap.partition_events(part.state, None if whole else (self.lo, self.hi), self.decode or self.mode in ("records", "gaps")):
+                if e.block is None or part.after < e.block["sequence"] <= part.upto:
+                    yield e
         finally:
             s.close()
 
-    def _partition(self, snap: Snapshot, st) -> tuple:
-        p, o = st.partition, st.partition.options
-        f = st.footer
-        if f:
-            count, flags, lo, hi = f["block_count"], f["flags"], f["min_time_ns"], f["max_time_ns"]
-        else:
-            from .volume import summary
-
-            count, (flags, lo, hi) = len(st.index), summary(st.index)
-        return p.slot, _u64(p.generation), st.sealed, count, st.data_end - M.REGION, lo, hi, flags, o.compression, o.compression_version, _u64(o.record_format_id), o.record_format_version, _u64(o.time_domain_id), o.allowed_backward_skew_ns, o.allowed_forward_step_ns
-
-    def _events(self, snap: Snapshot, part: Part) -> Iterator[Event]:
-        if part.slot is None:
-            yield from snap.gaps()
-            return
-        state = next((s for s in snap.states if s.partition.slot == part.slot), None)
-        if state is None or state.partition.generation != part.generation:
-            yield Event("overwritten_gap", part.slot, part.generation, error=RingError("overwritten", "reused since it was planned"))
-            return
-        if self.lo > self.hi:
-            return
-        whole = (self.lo, self.hi) == (LEAST, MOST)
-        decode = self.decode and self.mode != "gaps" or self.mode == "records"
-        for e in snap.partition_events(state, None if whole else self.lo, None if whole else min(self.hi, MOST - 1) + 1, decode or self.mode == "gaps"):
-            if e.block is None or part.after < e.block["sequence"] <= part.upto:
-                yield e
-
-    def _rows(self, part: Part, e: Event) -> Iterator[tuple]:
-        sequence = e.block["sequence"] if e.block else None
-        order = ((max(part.order, 0) << 32) + (sequence + 1 if sequence is not None else 0)) if part.slot is not None else e.slot - (1 << 32)
-        o = e.partition.options if e.partition else None
+    def _order(self, part: Part, e: Event) -> int:
+        return (part.order << 32) + (e.block["sequence"] + 1 if e.block else 0) if part.state or part.gone else e.slot - (1 << 32)
+
+    def _records(self, part: Part, e: Event) -> pa.RecordBatch | None:
+        """The records of a data event that are asked for."""
+        o = e.partition.options
+        if self.skip and (key := (o.record_format_id, o.record_format_version)) not in (self.profiles or {}) and key not in PROFILES:
+            return None
+        f = frames_of(e, self.profiles)
+        some = chosen(f, self.lo, self.hi, None if self.selectors is None else np.array(sorted(x for x in self.selectors if 0 <= x <= M.U64), np.uint64))
+        numbers = np.arange(len(f)) if some is None else some
+        n = len(numbers)
+        if not n:
+            return None
+        same = lambda value, kind: pa.nulls(n, kind) if value is None else pa.repeat(pa.scalar(value, kind), n)
+        long_ = pa.int64()
+        cols = [
+            same(e.kind, pa.string()), same(e.slot, pa.int32()), _unsigned(np.full(n, e.generation, np.uint64)), same(e.block["sequence"], long_), pa.array(numbers, long_), pa.array(f.times[numbers]),
+            _unsigned(f.selectors[numbers]), pa.array(f.flags[numbers].astype(np.int32)), f.payloads(some), f.encoded(some), _unsigned(np.full(n, o.time_domain_id, np.uint64)), same(None, pa.string()), same(None, pa.string()), same(self._order(part, e), long_),
+        ]
+        return pa.RecordBatch.from_arrays(cols, schema=_schema("records"))
+
+    def _row(self, part: Part, e: Event) -> tuple:
+        b, o, order = e.block or {}, e.partition.options if e.partition else None, self._order(part, e)
         code, message = (e.error.code, e.error.message) if e.error else (None, None)
-        domain = _u64(o.time_domain_id) if o else None
+        domain = o.time_domain_id if o else None
         if self.mode == "records":
-            if e.kind != "data":
-                yield e.kind, e.slot, _u64(e.generation), sequence, None, None, None, None, None, None, domain, code, message, order
-                return
-            if (o.record_format_id, o.record_format_version) != M.FRAMED_PROFILE:
-                raise RingError("unsupported", "a block of another profile than framed records")
-            found = M.frame_decode(e.data)
-            if len(found) != e.block["record_count"]:
-                raise M.corrupt("block: not as many records as told")
-            for n, (t, selector, flags, payload, whole) in enumerate(found):
-                if self.lo <= t <= self.hi and (self.selectors is None or selector in self.selectors):
-                    yield e.kind, e.slot, _u64(e.generation), sequence, n, t, _u64(selector), flags, payload, whole, domain, None, None, order
-        elif self.mode == "blocks" or e.kind != "data":
-            b = e.block or {}
-            yield (e.kind, e.slot, _u64(e.generation), sequence, b.get("record_count"), b.get("min_time_ns"), b.get("max_time_ns"), b.get("flags"), b.get("compression"), b.get("stored_size"), b.get("raw_size"), b.get("offset"),
-                   _u64(o.record_format_id) if o else None, o.record_format_version if o else None, domain, e.data, code, message, order)
+            return e.kind, e.slot, e.generation, b.get("sequence"), None, None, None, None, None, None, domain, code, message, order
+        return (e.kind, e.slot, e.generation, b.get("sequence"), b.get("record_count"), b.get("min_time_ns"), b.get("max_time_ns"), b.get("flags"), b.get("compression"), b.get("stored_size"), b.get("raw_size"), b.get("offset"),
+                o.record_format_id if o else None, o.record_format_version if o else None, domain, e.data, code, message, order)
+
+
+def _partition(st: State) -> tuple:
+    p, o, f = st.partition, st.partition.options, st.footer
+    count, (flags, lo, hi) = (f["block_count"], (f["flags"], f["min_time_ns"], f["max_time_ns"])) if f else (len(st.index), summary(st.index))
+    return p.slot, p.generation, st.sealed, count, st.data_end - M.REGION, lo, hi, flags, o.compression, o.compression_version, o.record_format_id, o.record_format_version, o.time_domain_id, o.allowed_backward_skew_ns, o.allowed_forward_step_ns
 
 
 class Reader(DataSourceReader):
@@ -202,7 +263,7 @@ class Reader(DataSourceReader):
     def partitions(self) -> list[Part]:
         return self.request.plan()
 
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         return self.request.read(partition)
 
 
@@ -215,18 +276,11 @@ class StreamReader(DataSourceStreamReader):
             raise invalid("a stream reads blocks or records")
         (self.path,) = volumes_of(self.request.path)
 
-    def _snapshot(self) -> Snapshot:
-        s = FileStorage(self.path)
-        try:
-            return Snapshot(s)
-        finally:
-            s.close()
-
     def initialOffset(self) -> dict:
         return {"generation": 0, "sequence": -1}
 
     def latestOffset(self) -> dict:
-        states = self._snapshot().states
+        states = self.request.snapshot(self.path).states
         if not states:
             return self.initialOffset()
         last = states[-1]
@@ -234,7 +288,8 @@ class StreamReader(DataSourceStreamReader):
         return {"generation": last.partition.generation, "sequence": n - 1}
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
-        states = {s.partition.generation: s for s in self._snapshot().states}
+        snap = self.request.snapshot(self.path)
+        states = {s.partition.generation: s for s in snap.states}
         out, first = [], max(1, start["generation"])
         for g in range(min(first, end["generation"]), end["generation"] + 1) if states else ():
             after = start["sequence"] if g == start["generation"] else -1
@@ -242,12 +297,12 @@ class StreamReader(DataSourceStreamReader):
             if upto <= after:
                 continue
             if g in states:
-                out.append(Part(self.path, states[g].partition.slot, g, g, after, upto))
+                out.append(Part(self.path, snap.volume, states[g], g, after, upto))
             elif start["generation"] or g >= min(states):  # gone since it was due
-                out.append(Part(self.path, (g - 1) % max(1, len(states)), g, g))
-        return out or [Part("", None, 0, -2)]
+                out.append(Part(self.path, order=g, gone=((g - 1) % snap.volume.partition_count, g)))
+        return out or [Part("")]
 
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         return self.request.read(partition)
 
     def commit(self, end: dict) -> None:
@@ -255,14 +310,15 @@ class StreamReader(DataSourceStreamReader):
 
 
 class Staged(WriterCommitMessage):
-    def __init__(self, number: int, file: str | None):
-        self.number, self.file = number, file
+    def __init__(self, number: int, files: list[str]):
+        self.number, self.files = number, files
 
 
 class _Sink:
-    """Tasks stage their rows beside the volume; the commit appends them in one writer, in order of ordinal.
+    """Tasks stage their rows beside the volume, in sorted runs; the commit merges them by ordinal into one writer.
 
-    So a task may be repeated or run twice without a record being written twice.
+    A task may be repeated or run twice without a record being written twice. A volume has
+    one writer, so all rows of a commit go through the driver, a batch at a time.
     """
 
     def __init__(self, options: dict[str, str]):
@@ -270,24 +326,33 @@ class _Sink:
         (self.path,) = (get("path") or "").split(",")
         self.path = "/" + self.path.removeprefix("file:").lstrip("/") if self.path.startswith("file:") else self.path
         self.domain, self.every = int(get("time_domain", "1"), 0), int(get("checkpoint_every", "1000"))
-        self.options = M.Options(*{"none": (0, 1), "packbits": (1, 1), "lz4_block": (2, 1)}[get("compression", "none")], *M.FRAMED_PROFILE, self.domain, int(get("allowed_backward_skew_ns", "-1")), int(get("allowed_forward_step_ns", "-1")))
+        self.codecs = named(get("codecs"))
+        known = {"none": (0, 1), "packbits": (1, 1), "lz4_block": (2, 1)}
+        packing = get("compression", "none")
+        key = known.get(packing) or tuple(int(x, 0) for x in packing.split(":"))
+        self.options = M.Options(*key, *M.FRAMED_PROFILE, self.domain, int(get("allowed_backward_skew_ns", "-1")), int(get("allowed_forward_step_ns", "-1")))
 
     def stage(self, rows: Iterator) -> Staged:
         from pyspark import TaskContext
 
-        got = sorted((int(r["ordinal"]), int(r["index_time_ns"]), int(r["selector"]) & M.U64, int(r["flags"]), bytes(r["payload"] or b"")) for r in rows)
-        number = TaskContext.get().partitionId()
-        if not got:
-            return Staged(number, None)
-        file = f"{self.path}.staged-{uuid.uuid4().hex}"
-        table = pa.table({"ordinal": pa.array([r[0] for r in got], pa.int64()), "t": pa.array([r[1] for r in got], pa.int64()), "s": pa.array([r[2] for r in got], pa.uint64()), "f": pa.array([r[3] for r in got], pa.int32()), "p": pa.array([r[4] for r in got], pa.binary())})
-        with pa.OSFile(file, "wb") as out, pa.ipc.new_file(out, table.schema) as w:
-            w.write_table(table, max_chunksize=4096)
-        return Staged(number, file)
-
-    def append(self, messages: list[Staged]) -> int:
-        """Merges the staged rows by ordinal, a batch of each file in memory at a time."""
-        import heapq
+        files = []
+        made = ((int(r["ordinal"]), int(r["index_time_ns"]), int(r["selector"]) & M.U64, int(r["flags"]), bytes(r["payload"] or b"")) for r in rows)
+        while run := sorted(islice(made, RUN_ROWS)):
+            files.append(f"{self.path}.staged-{uuid.uuid4().hex}")
+            kinds = {"ordinal": pa.int64(), "t": pa.int64(), "s": pa.uint64(), "f": pa.int32(), "p": pa.binary()}
+            table = pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), zip(*run, strict=True), strict=True)})
+            with pa.OSFile(files[-1], "wb") as out, pa.ipc.new_file(out, table.schema) as w:
+                w.write_table(table, max_chunksize=BATCH_ROWS)
+        return Staged(TaskContext.get().partitionId(), files)
+
+    def _writer(self) -> Writer:
+        writer = Writer(FileStorage(self.path, writable=True), self.options, registry=self.codecs)
+        if writer.partition.options != self.options:
+            writer.rotate(self.options)
+        return writer
+
+    def append(self, writer: Writer, messages: list[Staged], skip: int = 0) -> int:
+        """Merges the staged rows by ordinal, a batch of each run in memory at a time, and appends all but the first `skip`."""
 
         def rows(file: str):
             with pa.memory_map(file) as f:
@@ -295,28 +360,26 @@ class _Sink:
                 for i in range(reader.num_record_batches):
                     yield from zip(*(c.to_pylist() for c in reader.get_batch(i).columns), strict=True)
 
-        writer = Writer(FileStorage(self.path, writable=True), self.options)
+        merged = islice(heapq.merge(*(rows(x) for m in messages if m for x in m.files)), skip, None)
         n = 0
-        try:
-            if writer.partition.options != self.options:
-                writer.rotate(self.options)
-            for _, t, s, f, p in heapq.merge(*(rows(m.file) for m in messages if m and m.file)):
-                writer.append_framed(t, s, f, p)
-                n += 1
-                if n % self.every == 0:
-                    writer.checkpoint()
-        finally:
-            writer.close()
-            self.drop(messages)
+        while part := list(islice(merged, self.every - n % self.every if self.every > 0 else BATCH_ROWS)):
+            _, t, s, f, p = zip(*part, strict=True)
+            writer.append_frames(np.array(t, np.int64), np.array(s, np.uint64), np.array(f, np.int64).astype(np.uint16), np.array([len(x) for x in p], np.int64), b"".join(p))
+            n += len(part)
+            if self.every > 0 and n % self.every == 0:
+                writer.checkpoint()
         return n
 
     def drop(self, messages: list[Staged]) -> None:
         for m in messages:
-            if m and m.file and os.path.exists(m.file):
-                os.unlink(m.file)
+            for file in m.files if m else ():
+                if os.path.exists(file):
+                    os.unlink(file)
 
 
 class BatchWriter(DataSourceWriter, _Sink):
+    """A write that fails while it commits leaves the rows that it had appended, in order; its error says so."""
+
     def __init__(self, options: dict[str, str]):
         _Sink.__init__(self, options)
 
@@ -324,14 +387,27 @@ class BatchWriter(DataSourceWriter, _Sink):
         return self.stage(iterator)
 
     def commit(self, messages: list[Staged]) -> None:
-        self.append(messages)
+        writer = self._writer()
+        try:
+            self.append(writer, messages)
+            writer.close()
+        except RingError as e:
+            raise RingError(e.code, f"{writer.metrics.accepted_records} records went in before: {e.message}") from e
+        finally:
+            writer.storage.close()
+            self.drop(messages)
 
     def abort(self, messages: list[Staged]) -> None:
         self.drop(messages)
 
 
 class StreamWriter(DataSourceStreamWriter, _Sink):
-    """The last batch that was appended is noted beside the volume, so that a repeated commit appends nothing."""
+    """Before a batch is appended, its number and where the volume ends are noted durably beside it.
+
+    If the commit is repeated, whatever of the batch stands after that place is counted in
+    the volume itself and left out, so each record is written once, wherever the first
+    commit stopped. Should the ring have gone past the place meanwhile, that can't be told: an error.
+    """
 
     def __init__(self, options: dict[str, str]):
         _Sink.__init__(self, options)
@@ -339,19 +415,70 @@ class StreamWriter(DataSourceStreamWriter, _Sink):
     def write(self, iterator: Iterator) -> Staged:
         return self.stage(iterator)
 
+    def _noted(self) -> dict:
+        try:
+            with open(self.path + ".batches") as f:
+                return json.load(f)
+        except FileNotFoundError:
+            return {"batch": -1, "done": True}
+
+    def _note(self, note: dict) -> None:
+        file = self.path + ".batches"
+        with open(file + ".new", "w") as f:
+            json.dump(note, f)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(file + ".new", file)
+        parent = os.open(os.path.dirname(os.path.abspath(file)), os.O_RDONLY)
+        try:
+            os.fsync(parent)
+        finally:
+            os.close(parent)
+
+    def _end(self) -> dict:
+        s = FileStorage(self.path)
+        try:
+            last = Snapshot(s, registry=self.codecs).states[-1]
+        finally:
+            s.close()
+        return {"generation": last.partition.generation, "blocks": last.footer["block_count"] if last.sealed else len(last.index)}
+
+    def _since(self, place: dict) -> int:
+        """How many records stand after a place."""
+        s = FileStorage(self.path)
+        try:
+            snap = Snapshot(s, registry=self.codecs)
+            states = {st.partition.generation: st for st in snap.states}
+            if place["generation"] not in states:
+                raise RingError("overwritten", "the ring has gone past the beginning of the batch")
+            n = 0
+            for g, st in states.items():
+                if g >= place["generation"]:
+                    entries = snap.load_index(st) if st.sealed else st.index
+                    n += sum(e["record_count"] for e in entries if g > place["generation"] or e["sequence"] >= place["blocks"])
+            return n
+        finally:
+            s.close()
+
     def commit(self, messages: list[Staged], batchId: int) -> None:
-        note = f"{self.path}.batches"
-        last = -1
-        if os.path.exists(note):
-            with open(note) as f:
-                last = json.load(f)["batch"]
-        if batchId <= last:
+        note = self._noted()
+        if batchId < note["batch"] or batchId == note["batch"] and note["done"]:
             self.drop(messages)
             return
-        self.append(messages)
-        with open(note + ".new", "w") as f:
-            json.dump({"batch": batchId}, f)
-        os.replace(note + ".new", note)
+        skip = 0
+        if batchId == note["batch"]:
+            skip = self._since(note)
+        writer = self._writer()
+        try:
+            if batchId != note["batch"]:
+                note = {"batch": batchId, "done": False} | self._end()
+                self._note(note)
+            self.append(writer, messages, skip)
+            writer.close()
+        finally:
+            writer.storage.close()
+        self._note(note | {"done": True})
+        self.drop(messages)
 
     def abort(self, messages: list[Staged], batchId: int) -> None:
         self.drop(messages)
