@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import re
 import sys
 
 from .errors import RingError
@@ -16,8 +17,32 @@ from .sources.storage import FileStorage
 from .sources.volume import Snapshot, format_volume
 
 
-def number(text: str) -> int:
-    return int(text, 0)
+_NUMBER = re.compile(r"([+-]?)(0[xX][0-9a-fA-F]+|0[0-7]*|[1-9][0-9]*)")
+
+
+def signed(text: str) -> int:
+    """A whole number of 64 bits in decimal, 0x hexadecimal or 0 octal, and nothing else."""
+    m = _NUMBER.fullmatch(text.strip(" \t"))
+    if not m:
+        raise argparse.ArgumentTypeError(f"{text!r} is no number")
+    digits = m[2]
+    value = int(digits, 16 if digits[:2] in ("0x", "0X") else 8 if digits[0] == "0" else 10) * (-1 if m[1] == "-" else 1)
+    if not -(1 << 63) <= value < 1 << 63:
+        raise argparse.ArgumentTypeError(f"{text} is out of range")
+    return value
+
+
+def unsigned(text: str) -> int:
+    if text.lstrip(" \t").startswith("-"):
+        raise argparse.ArgumentTypeError(f"{text} is negative")
+    m = _NUMBER.fullmatch(text.strip(" \t"))
+    if not m:
+        raise argparse.ArgumentTypeError(f"{text!r} is no number")
+    digits = m[2]
+    value = int(digits, 16 if digits[:2] in ("0x", "0X") else 8 if digits[0] == "0" else 10)
+    if value > M.U64:
+        raise argparse.ArgumentTypeError(f"{text} is out of range")
+    return value
 
 
 def preview(data: bytes, most: int = 64) -> str:
@@ -99,19 +124,19 @@ def main(argv: list[str] | None = None, out=None) -> int:
         if name == "verify":
             p.add_argument("--strict", action="store_true")
         elif name == "dump":
-            p.add_argument("--from", dest="begin", type=number)
-            p.add_argument("--to", dest="end", type=number)
-            p.add_argument("--selector", type=number, action="append")
-            p.add_argument("--time-domain", type=number)
+            p.add_argument("--from", dest="begin", type=signed)
+            p.add_argument("--to", dest="end", type=signed)
+            p.add_argument("--selector", type=unsigned, action="append")
+            p.add_argument("--time-domain", type=unsigned)
             p.add_argument("--framed", action="store_true")
             p.add_argument("--raw-blocks", action="store_true")
         elif name == "format":
-            p.add_argument("--size", type=number, required=True)
-            p.add_argument("--partition-size", type=number, default=4 << 20)
-            p.add_argument("--index-size", type=number, default=256 << 10)
-            p.add_argument("--block", type=number, default=32 << 10)
-            p.add_argument("--quantum", type=number, default=4096)
-            p.add_argument("--created", type=number, default=0)
+            p.add_argument("--size", type=unsigned, required=True)
+            p.add_argument("--partition-size", type=unsigned, default=4 << 20)
+            p.add_argument("--index-size", type=unsigned, default=256 << 10)
+            p.add_argument("--block", type=unsigned, default=32 << 10)
+            p.add_argument("--quantum", type=unsigned, default=4096)
+            p.add_argument("--created", type=signed, default=0)
             p.add_argument("--overwrite", action="store_true")
     try:
         args = parser.parse_args(argv)

@@ -92,19 +92,22 @@ def within(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         return [x.bitwiseAND(F.lit(signed(m))) for x, m in ((x0, bits & (2**64 - 1)), (x1, bits >> 64)) if m]
 
     tables = list(combinations(range(blocks), EXTRA_BLOCKS))
-    keys = [F.xxhash64(F.lit(n), *(c for b in some for c in masked(b, F.col("fp0"), F.col("fp1")))) for n, some in enumerate(tables)]
-    rows = one.select("fp0", "fp1", F.posexplode(F.array(*keys)).alias("n", "key"))
-    a = rows.select(F.col("fp0").alias("a0"), F.col("fp1").alias("a1"), "n", "key")
-    b = rows.select(F.col("fp0").alias("b0"), F.col("fp1").alias("b1"), F.col("n").alias("m"), F.col("key").alias("l"))
+    # a key's low bits are the number of its table, the others a hash of its blocks
+    low = len(tables).bit_length()
+    keys = [F.shiftleft(F.xxhash64(*(c for b in some for c in masked(b, F.col("fp0"), F.col("fp1")))), low).bitwiseOR(F.lit(n)) for n, some in enumerate(tables)]
+    rows = one.select("fp0", "fp1", F.explode(F.array(*keys)).alias("key"))
+    a = rows.select(F.col("fp0").alias("a0"), F.col("fp1").alias("a1"), "key")
+    b = rows.select(F.col("fp0").alias("b0"), F.col("fp1").alias("b1"), F.col("key").alias("l"))
+    table = F.col("key").bitwiseAND(F.lit((1 << low) - 1))
     d = distance(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1"))
     less = (F.col("a0") < F.col("b0")) | ((F.col("a0") == F.col("b0")) & (F.col("a1") < F.col("b1")))
     x0, x1 = F.col("a0").bitwiseXOR(F.col("b0")), F.col("a1").bitwiseXOR(F.col("b1"))
     agree = [reduce(lambda p, q: p & q, [c == 0 for c in masked(k, x0, x1)]) for k in range(blocks)]
     # of a pair's agreeing blocks the first ones name its table; keys that are equal by chance agree in none
-    first = F.lit(-1)
+    first = F.lit(-1).cast("long")
     for n, some in reversed(list(enumerate(tables))):
-        first = F.when(reduce(lambda p, q: p & q, [agree[k] for k in some]), F.lit(n)).otherwise(first)
-    return a.join(b, (F.col("key") == F.col("l")) & (F.col("n") == F.col("m")) & less & (d <= radius) & (F.col("n") == first)).select("a0", "a1", "b0", "b1", d.alias("distance"))
+        first = F.when(reduce(lambda p, q: p & q, [agree[k] for k in some]), F.lit(n).cast("long")).otherwise(first)
+    return a.join(b, (F.col("key") == F.col("l")) & less & (d <= radius) & (table == first)).select("a0", "a1", "b0", "b1", d.alias("distance"))
 
 
 def near_counts(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -141,13 +144,15 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     facts = scratch.table(following(scratch, scratch.table(facts, "facts")), "next")
     own = scratch.table(fingerprints(texts, ["doc_id", "h"]), "own")
 
-    # both joins take the same exchange of the texts; only what the edited text needs of the next document moves again
-    needs = facts.select(F.col("next_id").alias("i"), F.col("next_h").alias("g"), F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"), F.floor(F.col("n_chars") / 2).cast("int").alias("take"))
-    lent = texts.join(needs, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).select("to_id", "to_h", F.substring("text", F.lit(1), F.col("take")).alias("lent"))
-    lent = lent.dropDuplicates(["to_id", "to_h"])  # rows that repeat lend once
+    # both joins take the same exchange of the texts, by keys without nulls; only what the edited text needs of the next document moves again
+    key = lambda c: (F.coalesce(c, F.lit(0)), F.isnull(c))
+    keyed = texts.select("doc_id", "h", "text", key("doc_id")[0].alias("k"), key("doc_id")[1].alias("no"))
+    needs = facts.select(key("next_id")[0].alias("k"), key("next_id")[1].alias("no"), F.col("next_h").alias("h"), key("doc_id")[0].alias("to_k"), key("doc_id")[1].alias("to_no"), F.col("h").alias("to_h"), F.floor(F.col("n_chars") / 2).cast("int").alias("take"))
+    lent = keyed.drop("doc_id").join(needs, ["k", "no", "h"]).select(F.col("to_k").alias("k"), F.col("to_no").alias("no"), F.col("to_h").alias("h"), F.substring("text", F.lit(1), F.col("take")).alias("lent"))
+    lent = lent.dropDuplicates(["k", "no", "h"])  # rows that repeat lend once
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), "lent")
-    both = texts.join(lent, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("h") == F.col("to_h"))).select("doc_id", "h", edited.alias("text"))
+    both = keyed.join(lent, ["k", "no", "h"]).select("doc_id", "h", edited.alias("text"))
     both = both.withColumn("sha", F.sha2("text", 256))
     changed = scratch.table(fingerprints(both, ["doc_id", "h", "sha"]).dropDuplicates(["doc_id", "h"]), "edited")
 

@@ -30,11 +30,12 @@ def starts(sizes: np.ndarray, most: int) -> np.ndarray:
     return block
 
 
-def _packed(most: int):
+def _starts(most: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("ordinal")
         block = starts(group.column("size").to_numpy(), most)
-        return pa.table({"segment": group.column("segment"), "ordinal": group.column("ordinal"), "segment_block": pa.array(block)})
+        first = group.column("ordinal").to_numpy()[np.flatnonzero(np.diff(block, prepend=-1))]
+        return pa.table({"_segment": group.column("segment")[:1], "_starts": pa.array([first.tolist()], pa.list_(pa.int64()))})
 
     return run
 
@@ -43,15 +44,17 @@ def pack(records: DataFrame, max_block: int, checkpoint_every: int) -> DataFrame
     """records (with size) and segment, segment_block: the block of each within its checkpoint segment.
 
     checkpoint_every: ordinals between two checkpoints, each of which closes the block.
-    A record larger than a block is an error, as on append.
+    A record larger than a block is an error, as on append. Only sizes go through the
+    packing; the records meet one row a segment, the first ordinals of its blocks.
     """
     if max_block <= 0 or checkpoint_every <= 0:
         raise RingError("invalid_argument", "block and checkpoint sizes must be positive")
     sized = records.withColumn("size", encoded_size()).withColumn("segment", F.floor(F.col("ordinal") / checkpoint_every).cast("long"))
     fits = F.when(F.col("size") <= max_block, F.col("size")).otherwise(F.raise_error(F.lit("out_of_range: record larger than a block")).cast("long"))
     sized = sized.withColumn("size", fits)
-    where = sized.select("segment", "ordinal", "size").groupBy("segment").applyInArrow(_packed(max_block), "segment long, ordinal long, segment_block long")
-    return sized.join(where, ["segment", "ordinal"])
+    where = sized.select("segment", "ordinal", "size").groupBy("segment").applyInArrow(_starts(max_block), "_segment long, _starts array<long>")
+    block = (F.size(F.filter("_starts", lambda x: x <= F.col("ordinal"))) - 1).cast("long")
+    return sized.join(where, F.col("segment") == F.col("_segment")).withColumn("segment_block", block).drop("_segment", "_starts")
 
 
 def summaries(packed: DataFrame) -> DataFrame:
@@ -76,6 +79,17 @@ def query_by_blocks(packed: DataFrame, begin: int, end: int) -> DataFrame:
     return packed.join(some, ["segment", "segment_block"], "left_semi").where(C.in_range("index_time_ns", begin, end))
 
 
+def value_index(packed: DataFrame) -> DataFrame:
+    """(segment, segment_block, selector): each selector that a block holds, once. A block has a bounded number of records."""
+    return packed.select("segment", "segment_block", "selector").distinct()
+
+
+def query_by_values(packed: DataFrame, index: DataFrame, selectors: DataFrame) -> DataFrame:
+    """Exact records of some selectors, read only from blocks that the value index names for them."""
+    some = index.join(selectors.select("selector").distinct(), "selector", "left_semi").select("segment", "segment_block").distinct()
+    return packed.join(some, ["segment", "segment_block"], "left_semi").join(selectors.select("selector").distinct(), "selector", "left_semi").select(*packed.columns)
+
+
 def rejected(records: DataFrame, max_block: int) -> DataFrame:
     """Records that no block can hold."""
     return records.where(encoded_size() > max_block)

@@ -66,6 +66,21 @@ def in_order(df: DataFrame) -> DataFrame:
     return df.orderBy("ordinal")
 
 
+def first_of_each(records: DataFrame, by: list[str], order: str = "ordinal") -> DataFrame:
+    """Of records that agree in `by`, as those of redundant recorders do, the first in append order. Nothing else drops duplicates."""
+    row = F.min_by(F.struct(*records.columns), order).alias("_r")
+    return records.groupBy(*by).agg(row).select("_r.*")
+
+
+def compared(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row (only_a, only_b, in_both): rows by their counts, so that two readers agree if the first two are 0."""
+    cols = a.columns
+    sides = a.select(*cols, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(*cols, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    n = sides.groupBy(*cols).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    return n.agg(total(F.greatest(F.col("_a") - F.col("_b"), F.lit(0)), "only_a"), total(F.greatest(F.col("_b") - F.col("_a"), F.lit(0)), "only_b"), total(F.least("_a", "_b"), "in_both"))
+
+
 def with_profiles(parts: dict[tuple[int, int], DataFrame], wanted: tuple[int, int] | None = None) -> DataFrame:
     """Records of several profiles (id, version) in one table, or those of one; another profile is then an error."""
     if wanted is not None and (other := set(parts) - {wanted}):

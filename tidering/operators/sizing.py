@@ -26,15 +26,74 @@ def written_bytes(bytes_per_second: Column, years: int, amplification: float) ->
     return (bytes_per_second * (years * 365 * 86400) * amplification).cast("double")
 
 
-def percentiles(df: DataFrame, value: str, by: list[str], fractions: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles, the value of rank ceil(f * n), with count and maximum."""
-    made = [F.expr(f"percentile_disc({f}) WITHIN GROUP (ORDER BY {value})").alias(name) for name, f in fractions.items()]
-    return df.groupBy(*by).agg(F.count(value).alias("n"), *made, F.max(value).alias("max_value"))
+def required_tbw(bytes_per_second: Column, years: int, amplification: float, margin: float) -> Column:
+    """Terabytes that a device must take in over its life, by the interface at which its endurance is told."""
+    return written_bytes(bytes_per_second, years, amplification) * margin / 1e12
+
+
+def ram_bounds(block: Column, index: Column, codec: str, entry: int = 64) -> tuple[Column, Column]:
+    """The most memory of a writer and of one reading query, without the allocator's own.
 
+    block: the largest raw block; index: bytes of the index region, whose entries are `entry` bytes when decoded.
+    """
+    packed = C.most_compressed(block, codec)
+    entries = F.floor(index / ENTRY) * entry
+    candidate = F.lit(0) if codec == "none" else packed
+    frame = C.BLOCK_HEADER + F.greatest(block, packed)
+    return (block + candidate + frame + entries).cast("long"), (2 * block + index + 2 * entries).cast("long")
 
-def sample(df: DataFrame, key: str, k: int) -> DataFrame:
-    """k rows by the hash of a key: the same rows again for the same table."""
-    return df.orderBy(F.xxhash64(key), key).limit(k)
+
+#: Ranks, as a share of the rows, that the bracket round a percentile spans to each side, and what is asked of the sketch for it.
+_BRACKET, _ACCURACY = 1e-3, 20_000
+
+
+def percentiles(df: DataFrame, value: str, by: list[str], fractions: dict[str, float]) -> DataFrame:
+    """Nearest-rank percentiles, the value of rank ceil(f * n), with count and maximum.
+
+    Exact without sorting a group in one place: a quantile sketch brackets each rank, one
+    pass counts what lies under the bracket, and only the values within it (two thousandths of a
+    group) are ordered, by their counts. A rank outside its bracket, which the sketch's
+    error rules out, would be an error.
+    """
+    names, f = list(fractions), list(fractions.values())
+    rows = df.select(*by, F.col(value).alias("_v")).where("_v is not null")
+    asked = [x for q in f for x in (max(0.0, q - _BRACKET), min(1.0, q + _BRACKET))]
+    facts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("_v").alias("max_value"), F.percentile_approx("_v", asked, _ACCURACY).alias("_q"))
+    keyed = facts.select(*(F.col(c).alias(f"_k_{c}") for c in by), "_q")
+    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    near = rows.join(keyed, cond)
+    places = F.array(*(F.struct(F.lit(i).alias("i"), F.col("_q")[2 * i].alias("lo"), F.col("_q")[2 * i + 1].alias("hi")) for i in range(len(f))))
+    each = near.select(*by, "_v", F.explode(F.filter(places, lambda p: F.col("_v") <= p["hi"])).alias("p"))
+    counted = each.groupBy(*by, F.col("p.i").alias("_i"), F.when(F.col("_v") >= F.col("p.lo"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by, "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    counted = counted.withColumn("_upto", upto)
+    n = facts.select(*(F.col(c).alias(f"_k_{c}") for c in by), F.col("n").alias("_all"))
+    rank = F.ceil(F.element_at(F.array(*map(F.lit, f)), F.col("_i") + 1) * F.col("_all"))
+    hit = counted.join(n, cond).where((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank))
+    found = hit.groupBy(*by).agg(*(F.max(F.when(F.col("_i") == i, F.struct("_v"))).alias(f"_{i}") for i in range(len(f))))
+    found = found.select(*(F.col(c).alias(f"_k_{c}") for c in by), *(f"_{i}" for i in range(len(f))))
+    sure = lambda i: F.when(F.col(f"_{i}._v").isNotNull(), F.col(f"_{i}._v")).otherwise(F.raise_error(F.lit("a percentile outside its bracket")).cast(df.schema[value].dataType))
+    out = facts.drop("_q").join(found, cond)
+    return out.select(*by, "n", *(sure(i).alias(name) for i, name in enumerate(names)), "max_value")
+
+
+def reservoir(df: DataFrame, number: str, k: int) -> DataFrame:
+    """The k rows that deterministic reservoir sampling keeps of observations numbered from 1 by `number`.
+
+    Observation i takes the place i - 1 while there are free ones, then place splitmix64(i)
+    mod i, if that is one of the k; of those that took a place the last stays. So each place
+    is a maximum, and no order has to be followed.
+    """
+    from ..functions.codecs import splitmix64_of
+
+    i = F.col(number)
+    draw = C.unsigned(splitmix64_of(i))
+    place = F.when(i <= k, i - 1).otherwise((draw % i.cast(C.U64)).cast("long"))
+    kept = df.withColumn("place", place).where(F.col("place") < k)
+    return kept.groupBy("place").agg(F.max_by(F.struct(*df.columns), number).alias("_r")).select("place", "_r.*")
 
 
 def summary(blocks: DataFrame, records: DataFrame) -> DataFrame:
@@ -57,5 +116,13 @@ def durable(records: DataFrame, checkpoint_every: int, accepted: int) -> DataFra
     return records.withColumn("durable", F.col("ordinal") < last)
 
 
-def running_total(df: DataFrame, value: str, keys: list[str], order: str) -> DataFrame:
-    return df.withColumn("running", F.sum(value).over(Window.partitionBy(*keys).orderBy(order)))
+def digests(values: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """(by, digest) of rows (by, order, values array<long>): FNV-1a-64 over the groups' numbers in order, eight bytes each, little-endian.
+
+    An order-dependent fold, so a group is one task's: a partition of a ring is of bounded size.
+    """
+    from ..functions.codecs import fnv1a_of_longs
+
+    rows = F.array_sort(F.collect_list(F.struct(*order, "values")))
+    one = values.groupBy(*by).agg(rows.alias("_rows"))
+    return one.select(*by, fnv1a_of_longs(F.flatten("_rows.values")).alias("digest"))

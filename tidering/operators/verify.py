@@ -24,6 +24,21 @@ def mismatches(index: DataFrame, scanned: DataFrame) -> DataFrame:
     return both.select("generation", "sequence", problem.alias("problem")).where("problem is not null")
 
 
+def looked_up(index: DataFrame, headers: DataFrame) -> DataFrame:
+    """(generation, sequence, agrees) of each index entry whose block is there: whether it tells what the block's header does."""
+    told = (*AGREEING, "frame_span", "physical_offset")
+    a = index.select("generation", "sequence", F.struct(*told).alias("i"))
+    b = headers.select("generation", "sequence", F.struct(*told).alias("s"))
+    return a.join(b, ["generation", "sequence"]).select("generation", "sequence", F.col("i").eqNullSafe(F.col("s")).alias("agrees"))
+
+
+def against_current(snapshot: DataFrame, current: DataFrame) -> DataFrame:
+    """(slot, generation, kind): partitions of a snapshot as the headers stand now: data, overwritten by another generation, or corrupt without a header."""
+    now = current.select("slot", F.col("generation").alias("_now"))
+    kind = F.when(F.col("_now").isNull(), "corrupt_gap").when(F.col("_now") != F.col("generation"), "overwritten_gap").otherwise("data")
+    return snapshot.select("slot", "generation").join(now, "slot", "left").select("slot", "generation", kind.alias("kind"))
+
+
 def broken_chains(blocks: DataFrame) -> DataFrame:
     """Blocks (generation, sequence, writer, previous_writer) that don't name the writer of the block before them, 0 for the first."""
     w = Window.partitionBy("generation").orderBy("sequence")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..functions import columns as C
-from ..operators import blocks, events, reconstruct, records, ring, sizing, verify
+from ..operators import blocks, events, reconstruct, records, ring, sizing, verify, workload
+from ..operators.ordering import spread
 
 DAY = 86_400 * 10**9
 #: 2024-01-05 and 2024-01-12 in nanoseconds; the range of the event queries.
@@ -17,7 +19,7 @@ BEGIN, END = 1_704_412_800 * 10**9, 1_705_017_600 * 10**9
 #: 30 days from 1997-01-01, for the orders.
 O_BEGIN, O_END = 852_076_800 * 10**9, 852_076_800 * 10**9 + 30 * DAY
 SELECTORS = (3, 5, 8, 13, 21, 34, 55, 89)
-RING = ring.Geometry(partition=131_072, index=4096, block=4096, quantum=4096, slots=3)
+RING = ring.Geometry(partition=131_072, index=4096, block=4096, quantum=512, slots=3)
 MAX_BLOCK, CHECKPOINT = 4096, 1000
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,13 +59,33 @@ def packed_sql(source: str, name: str) -> str:
 )"""
 
 
-N_BLOCKS = RING.blocks_per_partition
+def mixed_sql(source: str, number: str, carried: str = "*") -> str:
+    """source with mixed: splitmix64 of an unsigned number, in 128 bits cut back to 64."""
+    cut = "% 18446744073709551616::UHUGEINT"
+    return f"""SELECT {carried}, xor(c, c >> 31) AS mixed FROM (
+  SELECT *, xor(b, b >> 27) * 10723151780598845931::UHUGEINT {cut} AS c FROM (
+    SELECT *, xor(a, a >> 30) * 13787848793156543929::UHUGEINT {cut} AS b FROM (SELECT *, ({number}::UHUGEINT + 11400714819323198485::UHUGEINT) {cut} AS a FROM {source})))"""
+
+
+SIGNED = "CASE WHEN {0} >= 9223372036854775808::UHUGEINT THEN ({0}::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE {0}::BIGINT END"
+
+#: Packed blocks of any span through the ring: where the next partition would start after a start at each block, the starts that are reached, and each block's.
 RINGED = f"""
-full_b AS (SELECT row_number() OVER (ORDER BY ordinal // 64) - 1 AS block, ordinal // 64 AS segment, count(*) AS record_count, min(index_time_ns) AS min_time_ns, max(index_time_ns) AS max_time_ns,
-  bit_or(CASE WHEN flags & 1 <> 0 THEN 2 ELSE 0 END)::BIGINT AS flags, 4096::BIGINT AS raw_size FROM ev GROUP BY ordinal // 64),
-rg AS (SELECT *, block // {N_BLOCKS} + 1 AS generation, block % {N_BLOCKS} AS sequence, (block // {N_BLOCKS}) % {RING.slots} AS slot,
-  CAST(ceil((128 + raw_size) / {RING.quantum}.0) * {RING.quantum} AS BIGINT) AS frame_span FROM full_b),
-ro AS (SELECT *, 4096 + coalesce(sum(frame_span) OVER (PARTITION BY generation ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS physical_offset FROM rg)"""
+{packed_sql('ev', 'pk')},
+rg_b AS (SELECT *, row_number() OVER (ORDER BY segment, segment_block) - 1 AS block, CAST(ceil((128 + raw_size) / {RING.quantum}.0) * {RING.quantum} AS BIGINT) AS frame_span FROM pk_b),
+rg_s AS (SELECT *, coalesce(sum(frame_span) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM rg_b),
+rg_n AS (
+  SELECT a.block, min(b.block) AS next FROM rg_s a
+  LEFT JOIN rg_s b ON b.block > a.block AND b.block <= a.block + {RING.index // 48} AND (b.before - a.before + {RING.span(RING.block)} > {RING.data} OR b.block - a.block = {RING.index // 48}) GROUP BY 1
+),
+rg_w AS (
+  SELECT 0::BIGINT AS start, 1::BIGINT AS generation WHERE EXISTS (SELECT 1 FROM rg_s)
+  UNION ALL SELECT n.next, w.generation + 1 FROM rg_w w JOIN rg_n n ON n.block = w.start WHERE n.next IS NOT NULL
+),
+ro AS (
+  SELECT s.*, w.generation, s.block - w.start AS sequence, (w.generation - 1) % {RING.slots} AS slot, 4096 + s.before - f.before AS physical_offset
+  FROM rg_s s ASOF JOIN rg_w w ON s.block >= w.start JOIN rg_s f ON f.block = w.start
+)"""
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -235,27 +257,22 @@ def frame_span(spark, d):
 # ---- the ring
 
 
-def _full_blocks(spark, d) -> DataFrame:
-    """Blocks of 64 events, all of the full size, so that spans are constant."""
-    e = records.events(spark, d).withColumns({"segment": F.floor(F.col("ordinal") / 64).cast("long"), "segment_block": F.lit(0).cast("long"), "size": records.encoded_size()})
-    return ring.numbered(blocks.summaries(e)).withColumn("raw_size", F.lit(4096).cast("long"))
-
-
 def _ring(spark, d) -> DataFrame:
-    return ring.assigned(_full_blocks(spark, d), RING)
+    """The packed events' blocks, of their true sizes, in a ring."""
+    return ring.assigned(ring.numbered(blocks.summaries(_packed(spark, d))), RING)
 
 
-@query(f"WITH {EV}, {RINGED} SELECT block, generation, sequence, slot, frame_span FROM ro")
+@query(f"WITH RECURSIVE {EV}, {RINGED} SELECT block, generation, sequence, slot, frame_span FROM ro")
 def ring_assign(spark, d):
     return _ring(spark, d).select("block", "generation", "sequence", "slot", "frame_span")
 
 
-@query(f"WITH {EV}, {RINGED} SELECT block, generation, physical_offset FROM ro")
+@query(f"WITH RECURSIVE {EV}, {RINGED} SELECT block, generation, physical_offset FROM ro")
 def physical_offset(spark, d):
     return _ring(spark, d).select("block", "generation", "physical_offset")
 
 
-@query(f"WITH {EV}, {RINGED} SELECT block, generation, slot, record_count FROM ro WHERE generation > (SELECT max(generation) FROM ro) - {RING.slots}")
+@query(f"WITH RECURSIVE {EV}, {RINGED} SELECT block, generation, slot, record_count FROM ro WHERE generation > (SELECT max(generation) FROM ro) - {RING.slots}")
 def retention_window(spark, d):
     return ring.retained(_ring(spark, d), RING.slots).select("block", "generation", "slot", "record_count")
 
@@ -263,12 +280,12 @@ def retention_window(spark, d):
 INSPECT = "SELECT generation, slot, count(*) AS block_count, sum(record_count)::BIGINT AS record_count, min(min_time_ns) AS min_time_ns, max(max_time_ns) AS max_time_ns, bit_or(flags) AS flags, sum(frame_span)::BIGINT AS data_bytes FROM ro GROUP BY 1, 2"
 
 
-@query(f"WITH {EV}, {RINGED} {INSPECT}")
+@query(f"WITH RECURSIVE {EV}, {RINGED} {INSPECT}")
 def partition_inspect(spark, d):
     return ring.inspect(_ring(spark, d))
 
 
-@query(f"WITH {EV}, {RINGED}, i AS ({INSPECT}) SELECT * FROM i WHERE generation = (SELECT max(generation) FROM i)")
+@query(f"WITH RECURSIVE {EV}, {RINGED}, i AS ({INSPECT}) SELECT * FROM i WHERE generation = (SELECT max(generation) FROM i)")
 def active_partition(spark, d):
     return ring.active(ring.inspect(_ring(spark, d)))
 
@@ -276,46 +293,97 @@ def active_partition(spark, d):
 # ---- verification
 
 
-@query(f"WITH {EV}, {RINGED} SELECT generation, sequence FROM ro r WHERE sequence < coalesce((SELECT min(sequence) FROM ro b WHERE b.generation = r.generation AND b.block % 11 = 7), 1000000)")
+@query(f"WITH RECURSIVE {EV}, {RINGED} SELECT generation, sequence FROM ro r WHERE sequence < coalesce((SELECT min(sequence) FROM ro b WHERE b.generation = r.generation AND b.block % 11 = 7), 1000000)")
 def prefix_valid(spark, d):
     marked = _ring(spark, d).withColumn("valid", F.col("block") % 11 != 7)
     return verify.valid_prefix(marked).select("generation", "sequence")
 
 
-@query(f"WITH {EV}, {RINGED} SELECT generation, sequence, CASE WHEN block % 13 = 5 THEN 'not_indexed' ELSE 'differs' END AS problem FROM ro WHERE block % 13 = 5 OR block % 17 = 4")
+@query(f"WITH RECURSIVE {EV}, {RINGED} SELECT generation, sequence, CASE WHEN block % 13 = 5 THEN 'not_indexed' ELSE 'differs' END AS problem FROM ro WHERE block % 13 = 5 OR block % 17 = 4")
 def strict_verify_mismatch(spark, d):
     scanned = _ring(spark, d)
     index = scanned.where("block % 13 <> 5").withColumn("record_count", F.col("record_count") + F.when(F.col("block") % 17 == 4, 1).otherwise(0))
     return verify.mismatches(index, scanned)
 
 
-@query(f"WITH {EV}, {RINGED} SELECT generation, sequence FROM ro WHERE sequence > 0 AND block % 9 = 3")
+@query(f"WITH RECURSIVE {EV}, {RINGED} SELECT generation, sequence FROM ro WHERE sequence > 0 AND block % 9 = 3")
 def writer_chain(spark, d):
     r = _ring(spark, d).withColumn("writer", F.col("generation") * 10)
     told = F.when(F.col("sequence") == 0, 0).when(F.col("block") % 9 == 3, -1).otherwise(F.col("writer"))
     return verify.broken_chains(r.withColumn("previous_writer", told)).select("generation", "sequence")
 
 
-@query(f"WITH {EV}, {RINGED} SELECT count(*) FILTER (block % 10 <> 0) AS blocks, coalesce(sum(record_count) FILTER (block % 10 <> 0), 0)::BIGINT AS records, coalesce(sum(raw_size) FILTER (block % 10 <> 0), 0)::BIGINT AS raw_bytes, count(*) FILTER (block % 10 = 0) AS gaps FROM ro")
+@query(f"WITH RECURSIVE {EV}, {RINGED} SELECT count(*) FILTER (block % 10 <> 0) AS blocks, coalesce(sum(record_count) FILTER (block % 10 <> 0), 0)::BIGINT AS records, coalesce(sum(raw_size) FILTER (block % 10 <> 0), 0)::BIGINT AS raw_bytes, count(*) FILTER (block % 10 = 0) AS gaps FROM ro")
 def verify_totals(spark, d):
     r = _ring(spark, d).withColumn("kind", F.when(F.col("block") % 10 == 0, events.CORRUPT).otherwise("data"))
     return verify.totals(r)
 
 
-@query(f"WITH {EV}, {RINGED} SELECT min(generation) AS generation, count(*) AS n FROM ro WHERE sequence = 0 GROUP BY (generation - 1) // 2 HAVING count(*) > 1")
+@query(f"WITH RECURSIVE {EV}, {RINGED} SELECT min(generation) AS generation, count(*) AS n FROM ro WHERE sequence = 0 GROUP BY (generation - 1) // 2 HAVING count(*) > 1")
 def duplicate_generations(spark, d):
     p = ring.inspect(_ring(spark, d)).withColumn("generation", F.floor((F.col("generation") - 1) / 2).cast("long") * 2 + 1)
     return verify.duplicates(p)
 
 
-@query(f"WITH {EV}, {RINGED} SELECT block, record_count FROM ro r WHERE record_count <> (SELECT count(*) FROM ev WHERE ordinal // 64 = r.segment AND ordinal % 97 <> 0)")
+@query(f"WITH RECURSIVE {EV}, {RINGED} SELECT block, record_count FROM ro r WHERE record_count <> (SELECT count(*) FROM pk p WHERE p.segment = r.segment AND p.segment_block = r.segment_block AND ordinal % 97 <> 0)")
 def short_blocks(spark, d):
-    e = records.events(spark, d).where("ordinal % 97 <> 0").withColumn("segment", F.floor(F.col("ordinal") / 64).cast("long"))
-    return verify.short_blocks(_ring(spark, d), e, ["segment"]).select("block", "record_count")
+    e = _packed(spark, d).where("ordinal % 97 <> 0")
+    return verify.short_blocks(_ring(spark, d), e, ["segment", "segment_block"]).select("block", "record_count")
+
+
+@query(f"WITH RECURSIVE {EV}, {RINGED} SELECT generation, sequence, block % 19 <> 6 AS agrees FROM ro WHERE block % 23 <> 1")
+def index_lookup(spark, d):
+    headers = _ring(spark, d)
+    index = headers.where("block % 23 <> 1").withColumn("frame_span", F.col("frame_span") + F.when(F.col("block") % 19 == 6, 512).otherwise(0))
+    return verify.looked_up(index, headers)
+
+
+@query(f"""
+WITH RECURSIVE {EV}, {RINGED}, p AS (SELECT DISTINCT slot, generation FROM ro), top AS (SELECT max(generation) AS g FROM p)
+SELECT slot, generation, CASE WHEN slot = 1 THEN 'corrupt_gap' WHEN generation <= g - {RING.slots} THEN 'overwritten_gap' ELSE 'data' END AS kind FROM p, top WHERE generation > g - {RING.slots + 2} AND generation <= g""")
+def snapshot_against_current(spark, d):
+    p = ring.inspect(_ring(spark, d)).select("slot", "generation")
+    now = ring.retained(p, RING.slots)
+    return verify.against_current(ring.retained(p, RING.slots + 2), now.where("slot <> 1"))
 
 
 @query(f"""
-WITH {EV}, {RINGED} SELECT kind, gap_rank, generation, sequence FROM (
+WITH RECURSIVE {EV}, {RINGED}, n AS (
+  SELECT generation, sequence, 0 AS place, x.v, x.i FROM ro, LATERAL (SELECT unnest([generation, sequence, slot, flags]) AS v, unnest([1, 2, 3, 4]) AS i) x
+  UNION ALL SELECT r.generation, r.sequence, 1, p.ordinal, p.ordinal FROM ro r JOIN pk p USING (segment, segment_block)
+), b AS (SELECT generation, list(v ORDER BY sequence, place, i) AS vs FROM n GROUP BY 1),
+f AS (SELECT generation, list_reduce(list_concat([14695981039346656037::UHUGEINT], flatten(list_transform(vs, lambda v: list_transform([0, 8, 16, 24, 32, 40, 48, 56], lambda k: ((v::BIGINT >> k) & 255)::UHUGEINT)))),
+  lambda h, x: xor(h, x) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT) AS h FROM b)
+SELECT generation, CASE WHEN h >= 9223372036854775808::UHUGEINT THEN (h::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE h::BIGINT END AS digest FROM f""")
+def generation_digests(spark, d):
+    packed = _packed(spark, d)
+    r = ring.assigned(ring.numbered(blocks.summaries(packed)), RING)
+    told = r.select("generation", "sequence", F.lit(-1).cast("long").alias("at"), F.array("generation", "sequence", "slot", "flags").alias("values"))
+    held = packed.join(r.select("segment", "segment_block", "generation", "sequence"), ["segment", "segment_block"]).select("generation", "sequence", F.col("ordinal").alias("at"), F.array("ordinal").alias("values"))
+    return sizing.digests(told.unionByName(held), ["generation"], ["sequence", "at"])
+
+
+@query(f"WITH RECURSIVE {EV}, {packed_sql('ev', 'pk')} SELECT {SHOWN} FROM pk WHERE selector IN {SELECTORS}")
+def record_query_by_values(spark, d):
+    packed = _packed(spark, d)
+    wanted = spark.createDataFrame([(x,) for x in SELECTORS], "selector long")
+    return shown(blocks.query_by_values(packed, blocks.value_index(packed), wanted))
+
+
+@query(f"WITH {EV} SELECT 0::BIGINT AS only_a, 0::BIGINT AS only_b, count(*) AS in_both FROM ev WHERE index_time_ns >= {BEGIN} AND index_time_ns < {END}")
+def two_readers(spark, d):
+    a = records.query(records.events(spark, d, (BEGIN, END)), BEGIN, END)
+    return records.compared(shown(a), shown(blocks.query_by_blocks(_packed(spark, d), BEGIN, END)))
+
+
+@query(f"WITH {EV}, t AS (SELECT * FROM ev UNION ALL SELECT * REPLACE (ordinal + 1000000000 AS ordinal) FROM ev WHERE ordinal % 3 = 0) SELECT {SHOWN} FROM (SELECT *, row_number() OVER (PARTITION BY index_time_ns, selector, flags, payload ORDER BY ordinal) AS n FROM t) WHERE n = 1")
+def standby_duplicates(spark, d):
+    e = records.events(spark, d)
+    standby = e.where("ordinal % 3 = 0").withColumn("ordinal", F.col("ordinal") + 1_000_000_000)
+    return shown(records.first_of_each(e.unionByName(standby), ["index_time_ns", "selector", "flags", "payload"]))
+
+@query(f"""
+WITH RECURSIVE {EV}, {RINGED} SELECT kind, gap_rank, generation, sequence FROM (
   SELECT 'corrupt_gap' AS kind, 0 AS gap_rank, NULL::BIGINT AS generation, NULL::BIGINT AS sequence
   UNION ALL SELECT 'overwritten_gap', 1, generation, NULL FROM (SELECT DISTINCT generation FROM ro WHERE generation = 1)
   UNION ALL SELECT 'data', 1, generation, sequence FROM ro WHERE generation > 1)""")
@@ -326,13 +394,13 @@ def gap_union_order(spark, d):
     return out.select("kind", "gap_rank", "generation", "sequence").orderBy("gap_rank", "generation", "sequence")
 
 
-@query(f"WITH {EV}, {RINGED} SELECT kind, count(*) AS n FROM (SELECT CASE WHEN block % 10 = 0 THEN 'corrupt_gap' ELSE 'data' END AS kind, min_time_ns AS t FROM ro) WHERE kind <> 'data' OR t < {BEGIN} GROUP BY 1")
+@query(f"WITH RECURSIVE {EV}, {RINGED} SELECT kind, count(*) AS n FROM (SELECT CASE WHEN block % 10 = 0 THEN 'corrupt_gap' ELSE 'data' END AS kind, min_time_ns AS t FROM ro) WHERE kind <> 'data' OR t < {BEGIN} GROUP BY 1")
 def gaps_kept_by_filters(spark, d):
     r = _ring(spark, d).withColumn("kind", F.when(F.col("block") % 10 == 0, events.CORRUPT).otherwise("data"))
     return r.where(events.keeping_gaps(F.col("min_time_ns") < BEGIN)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {EV}, {RINGED} SELECT 'overwritten_gap' AS kind, g AS generation FROM range(1, (SELECT greatest(1, max(generation) - {RING.slots - 1}) FROM ro)) t(g)")
+@query(f"WITH RECURSIVE {EV}, {RINGED} SELECT 'overwritten_gap' AS kind, g AS generation FROM range(1, (SELECT greatest(1, max(generation) - {RING.slots - 1}) FROM ro)) t(g)")
 def reader_overrun(spark, d):
     return events.overrun(1, ring.retained(_ring(spark, d), RING.slots))
 
@@ -351,6 +419,31 @@ def latency_percentiles(spark, d):
     return sizing.percentiles(spark.read.parquet(f"{d}/events.parquet"), "value", ["event_type"], {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
+@query(f"""
+WITH e AS (SELECT event_id + 1 AS i, value FROM events), s AS ({mixed_sql('e', 'i')}),
+p AS (SELECT i, value, CASE WHEN i <= 256 THEN i - 1 ELSE (mixed % i::UHUGEINT)::BIGINT END AS place FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY i DESC) AS n FROM p WHERE place < 256)
+SELECT place::BIGINT AS place, i, value FROM r WHERE n = 1""")
+def reservoir_sample(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select((F.col("event_id") + 1).alias("i"), "value")
+    return sizing.reservoir(e, "i", 256)
+
+
+@query("""
+WITH g AS (SELECT n_nationkey::BIGINT AS id, 1024 * (1 + n_nationkey % 5) AS b, 4096 * (1 + n_nationkey % 3) AS i FROM nation)
+SELECT id, (b + (b + b // 255 + 16) + 128 + (b + b // 255 + 16) + i // 48 * 64)::BIGINT AS writer, (2 * b + i + 2 * (i // 48 * 64))::BIGINT AS reader FROM g""")
+def ram_bounds(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id"))
+    writer, reader = sizing.ram_bounds(1024 * (1 + F.col("id") % 5), 4096 * (1 + F.col("id") % 3), "lz4_block")
+    return n.select("id", writer.alias("writer"), reader.alias("reader"))
+
+
+@query("SELECT n_nationkey::BIGINT AS id, ((1 + n_nationkey)::DOUBLE * 40 * (8 * 365 * 86400) * 1.5) * 2.0 / 1e12 AS tbw FROM nation")
+def required_tbw(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id"))
+    return n.select("id", sizing.required_tbw((F.col("id") + 1) * 40, 8, 1.5, 2.0).alias("tbw"))
+
+
 @query(f"WITH RECURSIVE {EV}, {packed_sql('ev', 'pk')} SELECT (SELECT count(*) FROM ev) AS records, (SELECT min(ordinal) FROM ev) AS first_ordinal, (SELECT max(ordinal) FROM ev) AS last_ordinal, count(*) AS blocks, sum(raw_size)::BIGINT AS raw_bytes FROM pk_b")
 def stream_summary(spark, d):
     p = _packed(spark, d)
@@ -401,7 +494,8 @@ def status_names(spark, d):
 
 
 def _texts(spark, d) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", F.col("text").cast("binary").alias("raw"))
+    t = spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", F.col("text").cast("binary").alias("raw"))
+    return spread(t)
 
 
 def _round_trip(spark, d, name: str) -> DataFrame:
@@ -423,18 +517,55 @@ def lz4_roundtrip(spark, d):
     return _round_trip(spark, d, "lz4_block")
 
 
-@query()
+@query(f"""
+WITH {EV}, t AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 2197175160) ELSE x >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+h AS (SELECT ordinal, list_transform(regexp_extract_all(hex(payload), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM ev),
+m AS ({mixed_sql('h', 'ordinal')}),
+f AS (SELECT ordinal, mixed, list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, x: xor(t.t[xor(c, x) % 256 + 1], c >> 8)) AS c,
+  list_reduce(list_concat([14695981039346656037::UHUGEINT], list_transform(bytes, lambda x: x::UHUGEINT)), lambda c, x: xor(c, x) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT) AS f FROM m, t)
+SELECT ordinal, xor(c, 4294967295)::BIGINT AS crc, {SIGNED.format('f')} AS fnv, {SIGNED.format('mixed')} AS mixed FROM f""")
 def frame_crc(spark, d):
     e = records.events(spark, d)
     return e.select("ordinal", codecs.crc32c_of(F.col("payload")).alias("crc"), codecs.fnv1a_of(F.col("payload")).alias("fnv"), codecs.splitmix64_of(F.col("ordinal")).alias("mixed"))
 
 
-@query()
+@query("""
+WITH b AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, unnest(range(n)) AS i, unnest(regexp_extract_all(h, '..')) AS x FROM b),
+c AS (SELECT doc_id, i, CASE WHEN x = lag(x) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM e),
+g AS (SELECT doc_id, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
+r AS (SELECT doc_id, run, count(*) AS l FROM g GROUP BY 1, 2),
+p AS (SELECT *, CASE WHEN l < 3 THEN 0 ELSE l // 130 + (l % 130 >= 3)::INT END AS runs, CASE WHEN l < 3 THEN l WHEN l % 130 < 3 THEN l % 130 ELSE 0 END AS literals FROM r),
+s AS (SELECT *, sum((l >= 3)::INT) OVER (PARTITION BY doc_id ORDER BY run) AS stretch FROM p),
+z AS (SELECT doc_id, stretch, sum(runs) AS runs, sum(literals) AS literals FROM s GROUP BY 1, 2),
+packed AS (SELECT doc_id, sum(2 * runs + literals + CAST(ceil(literals / 128.0) AS BIGINT))::BIGINT AS size FROM z GROUP BY 1)
+SELECT b.doc_id, least(coalesce(p.size, 0), b.n)::BIGINT AS stored_size, b.n::BIGINT AS raw_size FROM b LEFT JOIN packed p ON p.doc_id = b.doc_id""")
 def codec_choice(spark, d):
-    t = _texts(spark, d).withColumn("packed", codecs.encoded(F.col("raw"), "lz4_block"))
+    return _stored(spark, d, "packbits")
+
+
+@query()
+def codec_choice_lz4(spark, d):
+    return _stored(spark, d, "lz4_block")
+
+
+def _stored(spark, d, name: str) -> DataFrame:
+    t = _texts(spark, d).withColumn("packed", codecs.encoded(F.col("raw"), name))
     return t.select("doc_id", F.octet_length(C.smallest(F.col("raw"), F.col("packed"))).cast("long").alias("stored_size"), F.octet_length("raw").cast("long").alias("raw_size"))
 
 
+@query(f"""
+WITH o AS (SELECT unnest(range(200)) AS ordinal), p AS (SELECT unnest({list(workload.PROFILES)!r}) AS profile), s AS ({mixed_sql('o', 'xor(ordinal, 7)')}), a AS (SELECT profile, ordinal, mixed FROM s, p)
+SELECT profile, ordinal, (ordinal % 64)::BIGINT AS selector,
+  CASE WHEN profile <> 'bad-time' OR ordinal < 20 THEN ordinal * 1000000 WHEN ordinal = 100 THEN 0 ELSE 1780000000000000000 + ordinal * 1000000 - CASE WHEN ordinal % 7 = 0 THEN 3000000 ELSE 0 END END::BIGINT AS index_time_ns,
+  CASE WHEN profile IN ('tiny', 'sparse') THEN 8 + mixed % 25 WHEN profile IN ('mixed', 'hot-rotation', 'concurrent-read') THEN CASE WHEN ordinal % 100 = 0 THEN 50 + mixed % 101 ELSE 10 + mixed % 40 END
+    WHEN profile = 'burst' THEN 16 + mixed % 112 WHEN profile IN ('compressible', 'incompressible') THEN 128 WHEN profile = 'logs' THEN 50 + mixed % 300 WHEN profile = 'bad-time' THEN 32 END::BIGINT AS size FROM a""")
+def workloads(spark, d):
+    made = [workload.records(spark, p, 200, seed=7).select(F.lit(p).alias("profile"), "ordinal", "selector", "index_time_ns", F.octet_length("payload").cast("long").alias("size")) for p in workload.PROFILES]
+    return reduce(DataFrame.unionByName, made)
+
+
 # ---- clocks
 
 
@@ -462,14 +593,43 @@ def clock_interpolate(spark, d):
     return near.select("source", "ordinal", reconstruct.interpolated(F.col("ordinal"), b, a).alias("time_ns"), q.alias("quality"))
 
 
+NOISE = "(ordinal * 7919 % 2001 - 1000) * 1000"
+
+
 @query(f"""
-WITH {EV}, e AS (SELECT selector % 10 AS source, index_time_ns, ordinal FROM ev), o AS (SELECT source, min(index_time_ns) AS t0 FROM e GROUP BY 1)
-SELECT source, count(*) AS n, t0 AS origin_local_ns, t0 + 500 AS origin_trusted_ns, round(regr_slope((2 * (index_time_ns - t0) + 0)::DOUBLE, (index_time_ns - t0)::DOUBLE), 6) AS rate FROM e JOIN o USING (source) GROUP BY source, t0""")
+WITH {EV}, e AS (SELECT selector % 10 AS source, ordinal // 5000 AS clock_segment, index_time_ns AS x, 1700000000000000000 + (index_time_ns - 1704067200000000000) * 2 + {NOISE} AS y FROM ev),
+o AS (SELECT source, clock_segment, min({{'x': x, 'y': y}}) AS o FROM e GROUP BY 1, 2),
+r AS (SELECT e.*, o.o.x AS x0, o.o.y AS y0 FROM e JOIN o USING (source, clock_segment)),
+m AS (SELECT source, clock_segment, count(*) AS n, x0, y0, greatest(coalesce(regr_slope((y - y0)::DOUBLE, (x - x0)::DOUBLE), 1.0), 0.0) AS slope, min(x) AS lo, max(x) AS hi FROM r GROUP BY source, clock_segment, x0, y0),
+u AS (SELECT m.source, m.clock_segment, max(abs((y - r.y0)::DOUBLE - slope * (x - r.x0)::DOUBLE)) AS residual FROM r JOIN m USING (source, clock_segment) GROUP BY 1, 2)
+SELECT source, clock_segment, n, x0 AS origin_local_ns, y0 AS origin_trusted_ns, round(slope, 6) AS rate, (round(residual / 1e5) * 1e5)::BIGINT AS residual_ns, round(residual / 1e5) * 1e5 + 3600e9 * (50 / 1e6) + 500 AS an_hour_later_ns FROM m JOIN u USING (source, clock_segment)""")
 def clock_model(spark, d):
-    e = records.events(spark, d).withColumn("source", F.col("selector") % 10)
-    least = e.groupBy("source").agg(F.min("index_time_ns").alias("t0"))
-    pairs = e.join(least, "source").select("source", F.col("index_time_ns").alias("local_ns"), (F.col("t0") + 500 + 2 * (F.col("index_time_ns") - F.col("t0"))).alias("trusted_ns"))
-    return reconstruct.clock_models(pairs, ["source"]).withColumn("rate", F.round("rate", 6))
+    e = records.events(spark, d)
+    noise = (F.col("ordinal") * 7919 % 2001 - 1000) * 1000
+    pairs = e.select((F.col("selector") % 10).alias("source"), F.floor(F.col("ordinal") / 5000).cast("long").alias("clock_segment"), F.col("index_time_ns").alias("local_ns"), (1_700_000_000_000_000_000 + (F.col("index_time_ns") - 1_704_067_200_000_000_000) * 2 + noise).alias("trusted_ns"))
+    m = reconstruct.clock_models(pairs, ["source", "clock_segment"]).withColumns({"rate": F.round("rate", 6), "residual_ns": F.round(F.col("residual_ns") / 1e5) * 1e5})
+    later = reconstruct.uncertainty(F.col("to_local_ns") + 3600 * 10**9, {c: F.col(c) for c in ("residual_ns", "from_local_ns", "to_local_ns")}, 50, 500)
+    return m.select("source", "clock_segment", "n", "origin_local_ns", "origin_trusted_ns", "rate", F.col("residual_ns").cast("long").alias("residual_ns"), later.alias("an_hour_later_ns"))
+
+
+@query(f"""
+WITH {EV}, e AS (SELECT *, selector % 20 AS source, ordinal % 4000 AS number, ordinal // 7000 AS boot FROM ev),
+l AS (SELECT *, lag(index_time_ns) OVER w AS t, lag(number) OVER w AS q, lag(boot) OVER w AS p FROM e WINDOW w AS (PARTITION BY source ORDER BY ordinal)),
+n AS (SELECT *, CASE WHEN index_time_ns < t OR index_time_ns - t > {3 * DAY} OR number < q OR (number - q)::DOUBLE * 1e9 > (index_time_ns - t)::DOUBLE * 2.0 OR (t IS NOT NULL AND boot <> p) THEN 1 ELSE 0 END AS new FROM l),
+s AS (SELECT *, sum(new) OVER (PARTITION BY source ORDER BY ordinal) AS clock_segment FROM n)
+SELECT source, clock_segment::BIGINT AS clock_segment, count(*) AS n, min(ordinal) AS first_ordinal FROM s GROUP BY 1, 2""")
+def clock_sessions(spark, d):
+    e = records.events(spark, d).withColumns({"source": F.col("selector") % 20, "number": F.col("ordinal") % 4000, "boot": F.floor(F.col("ordinal") / 7000).cast("long")})
+    return reconstruct.segments(e, ["source"], 3 * DAY, "number", "boot", 2.0).groupBy("source", "clock_segment").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first_ordinal"))
+
+
+@query(f"""
+WITH {EV}, k AS (SELECT ordinal, ordinal % 11 = 0 AS t, ordinal % 2 = 0 AS b, ordinal % 3 = 0 AS a, ordinal % 5 = 0 AS near, ordinal % 7 = 0 AS arrived FROM ev)
+SELECT quality, count(*) AS n FROM (SELECT CASE WHEN t THEN 'observed_trusted' WHEN b AND a THEN 'anchored' WHEN (b OR a) AND near THEN 'extrapolated' WHEN arrived THEN 'arrival_bounded' WHEN b OR a THEN 'order_only' ELSE 'unrecoverable' END AS quality FROM k) GROUP BY 1""")
+def quality_classes(spark, d):
+    every = lambda n: F.col("ordinal") % n == 0
+    q = reconstruct.quality(every(11), every(2), every(3), every(5), every(7))
+    return records.events(spark, d).groupBy(q.alias("quality")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def queries() -> dict[str, Query]:
