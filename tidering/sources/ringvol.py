@@ -14,6 +14,7 @@ begin, end, time_domain   a range query; filters on the columns are pushed down
 codecs, profiles   module:name of a dict of further codecs, or of decoders of record profiles, by (id, version)
 other_profiles     fail at a block of a profile without a decoder, or skip it (default: fail)
 size          of the volume, where the path is a device that doesn't tell
+verify_payload_crc   taken and ignored: payloads are always verified
 
 A read is of one snapshot, taken when it is planned: what is appended afterwards is not
 in it, and tasks that are repeated read the same again. A range or domain never hides the gap of a damaged header. A filter on a column that
@@ -177,9 +178,8 @@ class Request:
         rows: list[tuple] = []
         size = 0
         for e in self._events(part):
-            if e.kind != "data" and self.fail:
-                if rows:
-                    yield _batch(self.mode, rows)
+            if e.kind != "data" and self.fail:  # the gap is delivered, then it fails
+                yield _batch(self.mode, [*rows, self._row(part, e)])
                 raise RingError("overwritten" if e.kind == "overwritten_gap" else "corrupt", e.error.message if e.error else e.kind)
             if self.mode == "records" and e.kind == "data":
                 if rows:  # a gap that comes before
