@@ -214,5 +214,5 @@ def test_windows_miss_no_span_of_the_whole_text():
         base = pii.base_spans(text)
         tokens = pii.tokens_of(text)
         whole = [(k, tokens[i][1], tokens[j - 1][2]) for i, j, k in crf.best(text, tokens)]
-        assert pii.added_spans(text, base, crf) == [(k, s, e) for k, s, e in whole if not any(a < e and s < b for _, a, b in base)], text
+        assert pii.added_spans(text, base, crf) == [(k, s, e) for k, s, e in whole if all(b <= s or e <= a or k == "secret" and s <= a and b <= e for _, a, b in base)], text
     assert all(any(k == "ip" for k, _, _ in pii.find(t, crf)[1]) for t in texts[-6:-2])

@@ -13,7 +13,7 @@ span (separators, grouping of the digits, checksums, spelled-out signs, classes
 letters, the words before) and by the transition from the segment before it: its kind,
 or that it is outside and the kind of the last span seen. Dynamic programming over spans
 of bounded length finds the best boundaries and kinds together. The spans that meet no
-base span are added. The weights are trained by conditional likelihood on seeded
+base span are added, and secrets around them. The weights are trained by conditional likelihood on seeded
 synthetic lines, on the driver when a query is planned, and go along with the tasks.
 
 Null and empty texts have no spans. Every row is handled by itself, so rows that repeat
@@ -435,7 +435,7 @@ def windows(text: str) -> Iterator[list[Token]]:
 
 
 def added_spans(text: str, base: list[Span], crf: SemiCrf) -> list[Span]:
-    """The CRF's spans that meet no base span."""
+    """The CRF's spans that meet no base span, and secrets that hold those they meet: digits in a key may pass for a card."""
     taken: list[list[int]] = []  # merged
     for a, b in sorted((a, b) for _, a, b in base):
         if taken and a <= taken[-1][1]:
@@ -444,13 +444,15 @@ def added_spans(text: str, base: list[Span], crf: SemiCrf) -> list[Span]:
             taken.append([a, b])
     ends = [b for _, b in taken]
     meets = lambda s, e: (k := bisect_right(ends, s)) < len(taken) and taken[k][0] < e
+    holds = lambda s, e: all(s <= a and b <= e for a, b in taken[bisect_right(ends, s) : bisect_left(starts, e)])
+    starts = [a for a, _ in taken]
     out = []
     for tokens in windows(text):
-        if all(meets(s, e) for t, s, e in tokens if t[0].isdigit() or t == "@" or _blob(t)) and not any(t.lower() in AT | DOT for t, _, _ in tokens):
+        if all(meets(s, e) and not (_blob(t) and holds(s, e)) for t, s, e in tokens if t[0].isdigit() or t == "@" or _blob(t)) and not any(t.lower() in AT | DOT for t, _, _ in tokens):
             continue  # the base spans explain all that could be found
         for i, j, kind in crf.best(text, tokens):
             s, e = tokens[i][1], tokens[j - 1][2]
-            if not meets(s, e):
+            if not meets(s, e) or kind == "secret" and holds(s, e):
                 out.append((kind, s, e))
     return out
 
