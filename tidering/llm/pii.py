@@ -116,8 +116,10 @@ CUES = {
 #: Letters and digits mixed, from so many on, are one token: keys and hashes.
 BLOB = 12
 _TOKEN = re.compile(r"(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{%d,}|[0-9]+|[^\W\d_]+|[^\s]" % BLOB)
-_ANCHOR = re.compile(r"[0-9]|@|(?<![^\W\d_])(?:at|arroba|chez)(?![^\W\d_])", re.I)
+_ANCHOR = re.compile(r"[0-9]+|@|(?<![^\W\d_])(?:at|arroba|chez)(?![^\W\d_])", re.I)
+_DOTS = re.compile(r"\.|(?<![^\W\d_])(?:dot|punkt|punto|point)(?![^\W\d_])", re.I)
 _SEPARATORS = frozenset(".-()/+ []")
+_ADDRESS = frozenset("._%+-@()[]{}")
 
 Token = tuple[str, int, int]
 
@@ -128,7 +130,7 @@ def _numeric(tokens: list[Token]) -> bool:
 
 
 def _addressed(words: list[str]) -> bool:
-    if not all(w.isalnum() or w in "._%+-@()[]{}" for w in words):
+    if not all(w in _ADDRESS or w.isalnum() for w in words):
         return False
     return words[0][0].isalnum() and words[-1].isalpha() and len(words) >= 5 and ("@" in words or any(w in AT for w in words[1:-1])) and ("." in words or any(w in DOT for w in words[1:-1]))
 
@@ -152,7 +154,7 @@ def span_features(text: str, tokens: list[Token], i: int, j: int, lower: list[st
     """Of the span of tokens i to j (exclusive): features by kind; empty if it can be no entity."""
     span = tokens[i:j]
     before = lower[max(0, i - CONTEXT) : i]
-    near = {k: any(w in cues for w in before) for k, cues in CUES.items()}
+    near = lambda k: not CUES[k].isdisjoint(before)
     out: dict[str, list[str]] = {}
     if span[0][0].isdigit() or span[0][0] in "+(":
         if not _numeric(span):
@@ -165,16 +167,16 @@ def span_features(text: str, tokens: list[Token], i: int, j: int, lower: list[st
         shape = "-".join(str(len(g)) for g in groups)
         gaps = "".join(sorted(set(re.sub(r"[0-9]", "", raw))))
         if len(groups) == 4 and "." in gaps and all(len(g) <= 3 and int(g) <= 255 for g in groups):
-            out["ip"] = ["ok", f"gaps:{gaps}"] + ["cue"] * near["ip"]
+            out["ip"] = ["ok", f"gaps:{gaps}"] + ["cue"] * near("ip")
         if 12 <= len(d) <= 19:
-            out["card"] = ["luhn" if luhn(d) else "no_luhn", "grouped" if shape in ("4-4-4-4", "4-6-5") else "ungrouped", f"gaps:{gaps}"] + ["cue"] * near["card"]
+            out["card"] = ["luhn" if luhn(d) else "no_luhn", "grouped" if shape in ("4-4-4-4", "4-6-5") else "ungrouped", f"gaps:{gaps}"] + ["cue"] * near("card")
         if 7 <= len(d) <= 15:
-            out["phone"] = [f"digits:{len(d)}", f"shape:{shape}" if len(groups) < 6 else "shape:many", f"gaps:{gaps}", "plus" if raw[0] == "+" else "bare", "cue" if near["phone"] else "no_cue"]
+            out["phone"] = [f"digits:{len(d)}", f"shape:{shape}" if len(groups) < 6 else "shape:many", f"gaps:{gaps}", "plus" if raw[0] == "+" else "bare", "cue" if near("phone") else "no_cue"]
         return out
-    if span[-1][2] - span[0][1] == sum(len(t) for t, _, _ in span) and any(_blob(t) for t, _, _ in span) and all(t.isalnum() or t in "-_" for t, _, _ in span) and span[-1][0].isalnum():
-        out["secret"] = _secret(span, before, near["secret"])
+    if len(text[span[0][1] : span[-1][2]].split(None, 1)) == 1 and any(_blob(t) for t, _, _ in span) and all(t.isalnum() or t in "-_" for t, _, _ in span) and span[-1][0].isalnum():
+        out["secret"] = _secret(span, before, near("secret"))
     words = lower[i:j]
-    if not _addressed(words):
+    if j - i < 5 or not _addressed(words):
         return out
     signs = [k for k, w in enumerate(words) if w == "@" or w in AT]
     if len(signs) != 1:
@@ -185,7 +187,7 @@ def span_features(text: str, tokens: list[Token], i: int, j: int, lower: list[st
     rest = [w for w in words[k + 1 :] if w not in "[](){}"]
     tight = all(tokens[i + q][1] == tokens[i + q - 1][2] and tokens[i + q][2] == tokens[i + q + 1][1] for q in range(k + 1, len(words) - 1) if words[q] == ".")
     host = all(w.isalnum() or w in ".-" for w in rest) and (rest[-2] in DOT or rest[-2] == "." if len(rest) >= 3 else False)
-    out["email"] = ["spelled" if spelled else "sign", "held" if held else "loose", "inside" if i and tokens[i - 1][2] == span[0][1] else "free", "host" if host else "no_host", f"name:{min(k, 4)}", "name_apart" if any(tokens[i + q][2] < tokens[i + q + 1][1] for q in range(k - 1 - held)) else "name_tight", f"rest:{min(len(rest), 6)}", "cue" if near["email"] else "no_cue", "dot_word" if any(w in DOT for w in rest) else "dot_tight" if tight else "dot_apart"]
+    out["email"] = ["spelled" if spelled else "sign", "held" if held else "loose", "inside" if i and tokens[i - 1][2] == span[0][1] else "free", "host" if host else "no_host", f"name:{min(k, 4)}", "name_apart" if any(tokens[i + q][2] < tokens[i + q + 1][1] for q in range(k - 1 - held)) else "name_tight", f"rest:{min(len(rest), 6)}", "cue" if near("email") else "no_cue", "dot_word" if any(w in DOT for w in rest) else "dot_tight" if tight else "dot_apart"]
     return out
 
 
@@ -204,6 +206,10 @@ class SemiCrf:
         lower = [t.lower() for t, _, _ in tokens]
         signs = [k for k, t in enumerate(lower) if t == "@" or t in AT] + [len(tokens)] * 2
         blobs = [k for k, (t, _, _) in enumerate(tokens) if _blob(t)] + [len(tokens)]
+        stops = [len(tokens)] * (len(tokens) + 1)  # of each place, the first token from there on that no address holds
+        if signs[0] < len(tokens):
+            for i in reversed(range(len(tokens))):
+                stops[i] = stops[i + 1] if lower[i] in _ADDRESS or lower[i].isalnum() else i
         out, sign, blob = [], 0, 0
         for i in range(len(tokens)):
             here = []
@@ -226,8 +232,8 @@ class SemiCrf:
                         if held > 19:
                             break
             elif t.isalnum():
-                if i < signs[sign] < most:  # an address has one sign within, and after it a dot
-                    upto = min(most, signs[sign + 1])
+                if i < signs[sign] < most and stops[i] > signs[sign]:  # an address has one sign within, and after it a dot
+                    upto = min(most, signs[sign + 1], stops[i])
                     dot = next((k for k in range(signs[sign] + 1, upto - 1) if lower[k] == "." or lower[k] in DOT), upto)
                     if dot == upto:  # one before the sign will do
                         dot = signs[sign] if any(w == "." or w in DOT for w in lower[i + 1 : signs[sign]]) else upto
@@ -412,24 +418,26 @@ def windows(text: str) -> Iterator[list[Token]]:
 
     A candidate holds digits, or an @ or word for it with a dot or word for it near.
     """
-    if not _ANCHOR.search(text):
+    found = [(m.start(), m[0]) for m in _ANCHOR.finditer(text)]
+    if not found:
         return
+    if any(t.isalpha() or t == "@" for _, t in found):
+        dots = [m.start() for m in _DOTS.finditer(text)]
     tokens = tokens_of(text)
+    starts = [s for _, s, _ in tokens]
     lo = hi = 0
-    dots = [k for k, (t, _, _) in enumerate(tokens) if t == "." or t.lower() in DOT]
-    for k, (t, _, _) in enumerate(tokens):
-        if not ("0" <= t[0] <= "9" or _blob(t)):
-            if t != "@" and t.lower() not in AT:
-                continue
-            dot = bisect_left(dots, k - MOST_TOKENS)
-            if dot == len(dots) or dots[dot] > k + MOST_TOKENS:
-                continue
+    for at, t in found:
+        k = bisect_right(starts, at) - 1
         a, b = max(0, k - MOST_TOKENS - CONTEXT), min(len(tokens), k + MOST_TOKENS + 1)
+        if not t[0].isdigit():
+            dot = bisect_left(dots, starts[max(0, k - MOST_TOKENS)])
+            if dot == len(dots) or dots[dot] >= tokens[b - 1][2]:
+                continue
         if a > hi:
             if hi:
                 yield tokens[lo:hi]
             lo = a
-        hi = b
+        hi = max(hi, b)
     if hi:
         yield tokens[lo:hi]
 
