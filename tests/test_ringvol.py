@@ -263,6 +263,26 @@ def test_stream_reports_what_was_overwritten(tmp_path):
     assert kinds.count("overwritten_gap") == 3 and kinds.count("data") == 1
 
 
+def test_folder_sink_writes_a_volume_a_task(spark, tmp_path):
+    ringvol.register(spark)
+    p = str(tmp_path / "f")
+    rows = spark.range(3000).select(F.col("id").alias("ordinal"), (F.col("id") * 10).alias("index_time_ns"), (F.col("id") % 7).alias("selector"), F.lit(0).alias("flags"), F.encode(F.repeat(F.col("id").cast("string"), F.lit(30)), "utf-8").alias("payload"))
+    options = {"layout": "folder", "compression": "packbits", "partition_size": "65536", "index_size": "4096", "block": "4096", "quantum": "512"}
+    rows.repartition(3).write.format("ringvol").options(**options).mode("append").save(p)
+    assert len(ringvol.volumes_of(p)) == 3 and len(os.listdir(p)) == 3
+    got = _read(spark, p).where("kind = 'data'")
+    assert got.count() == 3000 and got.agg(F.sum("index_time_ns")).first()[0] == 10 * 2999 * 3000 // 2
+    assert _read(spark, p, mode="gaps").count() == 0
+    sink = ringvol.StreamWriter(options | {"path": p})
+    for n in range(2):  # the commit of a batch, and the same again
+        made = tmp_path / "f" / f".x{n}"
+        made.write_bytes(open(ringvol.volumes_of(p)[0], "rb").read())
+        sink.commit([ringvol.Staged(0, [], str(made))], 5)
+    assert len(os.listdir(p)) == 4
+    with pytest.raises(RingError, match="layout"):
+        ringvol.BatchWriter({"path": p, "layout": "other"})
+
+
 def test_ingest_queue():
     s = MemoryStorage(8192 + 2 * 65536)
     format_volume(s, 65536, 4096, 4096, 512)
@@ -278,6 +298,8 @@ def test_ingest_queue():
                 pass
     a.checkpoint(20)
     assert a.durable_sequence == 20 == a.metrics.durable
+    m = a.snapshot_metrics()
+    assert m.durable_sequence == 20 and m.checkpoints >= 1 and m.busy >= 1 and 3 <= m.max_queued_bytes <= 64 and 1 <= m.max_queued_records <= 21 and m.oldest_undurable_age_ns == 0
     a.stop()
     with pytest.raises(RingError, match="closed"):
         a.submit(b"x", 0)
@@ -294,6 +316,7 @@ def test_ingest_failure_stays():
         a.checkpoint(20)
     with pytest.raises(RingError, match="io_error"):
         a.submit(b"y", 2)
+    assert a.snapshot_metrics().errors == 1
 
 
 def test_commands(tmp_path, mixed):

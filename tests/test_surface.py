@@ -19,7 +19,7 @@ from tidering.sources import media as M
 from tidering.sources import ringvol
 from tidering.sources.media import FRAMED_PROFILE, Options
 from tidering.sources.storage import Counting, FileStorage, MemoryStorage
-from tidering.sources.volume import Snapshot, Writer, format_volume, query_records
+from tidering.sources.volume import Snapshot, Writer, format_volume, query_records, summarised
 from tidering.streaming.ingest import AsyncWriter
 
 FRAMED = Options(record_format_id=FRAMED_PROFILE[0], record_format_version=1)
@@ -202,6 +202,20 @@ def test_hooks_log_and_corruption():
     assert len(list(Snapshot(s.crash()).events())) == 1
 
 
+def test_summary_and_rolling_digest():
+    s = MemoryStorage(0, V.valid_mixed())
+    events = list(Snapshot(s).events())
+    digest = 0xCBF29CE484222325
+    for e in events:
+        parts = [x.to_bytes(8, "little") for x in (e.generation, e.block["sequence"], e.slot, e.block["flags"])]
+        for byte in b"".join([*parts, *(whole for *_, whole in M.frame_decode(e.data))]):
+            digest = (digest ^ byte) * 0x100000001B3 % 2**64
+    got = summarised(Snapshot(s))
+    assert (got.records, got.blocks, got.raw_bytes, got.gaps, got.digest) == (8, 4, 714, 0, digest)
+    s.corrupt(12416)
+    assert summarised(Snapshot(s)).gaps == 1 and summarised(Snapshot(s)).digest != digest
+
+
 def test_generations_end():
     s = memory()
     w = Writer(s, FRAMED)

@@ -9,6 +9,7 @@ from tidering.sources.media import FRAMED_PROFILE, Options
 from tidering.sources.storage import MemoryStorage
 from tidering.sources.volume import Writer, format_volume
 
+# The sizes, ids, times and payloads below make the published images byte by byte.
 PREFIX, PARTITION = 8192, 65536
 
 

@@ -97,9 +97,13 @@ def reservoir(df: DataFrame, number: str, k: int) -> DataFrame:
 
 
 def summary(blocks: DataFrame, records: DataFrame) -> DataFrame:
-    """records, first and last ordinal, blocks and bytes of a stream."""
+    """records, first and last ordinal, blocks, bytes and gaps of a stream.
+
+    blocks: one row a block or gap, gaps by a column kind that isn't `data`, if there is one.
+    """
+    data = F.col("kind") == "data" if "kind" in blocks.columns else F.lit(True)
     r = records.agg(F.count(F.lit(1)).alias("records"), F.min("ordinal").alias("first_ordinal"), F.max("ordinal").alias("last_ordinal"))
-    b = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.sum("raw_size").alias("raw_bytes"))
+    b = blocks.agg(F.count_if(data).alias("blocks"), F.sum(F.when(data, F.col("raw_size"))).alias("raw_bytes"), F.count_if(~data).alias("gaps"))
     return r.join(F.broadcast(b))
 
 

@@ -444,10 +444,15 @@ def required_tbw(spark, d):
     return n.select("id", sizing.required_tbw((F.col("id") + 1) * 40, 8, 1.5, 2.0).alias("tbw"))
 
 
-@query(f"WITH RECURSIVE {EV}, {packed_sql('ev', 'pk')} SELECT (SELECT count(*) FROM ev) AS records, (SELECT min(ordinal) FROM ev) AS first_ordinal, (SELECT max(ordinal) FROM ev) AS last_ordinal, count(*) AS blocks, sum(raw_size)::BIGINT AS raw_bytes FROM pk_b")
+@query(f"""
+WITH RECURSIVE {EV}, {RINGED}, g AS (SELECT *, block % 10 = 0 AS gone FROM ro), k AS (SELECT ordinal FROM pk p JOIN g USING (segment, segment_block) WHERE NOT g.gone)
+SELECT (SELECT count(*) FROM k) AS records, (SELECT min(ordinal) FROM k) AS first_ordinal, (SELECT max(ordinal) FROM k) AS last_ordinal,
+  count(*) FILTER (NOT gone) AS blocks, sum(raw_size) FILTER (NOT gone)::BIGINT AS raw_bytes, count(*) FILTER (gone) AS gaps FROM g""")
 def stream_summary(spark, d):
     p = _packed(spark, d)
-    return sizing.summary(blocks.summaries(p), p)
+    r = ring.assigned(ring.numbered(blocks.summaries(p)), RING).withColumn("kind", F.when(F.col("block") % 10 == 0, events.CORRUPT).otherwise("data"))
+    kept = p.join(r.where("kind = 'data'").select("segment", "segment_block"), ["segment", "segment_block"], "left_semi")
+    return sizing.summary(r, kept)
 
 
 @query(f"WITH {EV}, r AS (SELECT ordinal, lag(ordinal) OVER (ORDER BY ordinal) AS prev_ordinal FROM ev WHERE ordinal % 250 <> 7) SELECT ordinal, prev_ordinal FROM r WHERE prev_ordinal + 1 <> ordinal")

@@ -43,7 +43,7 @@ from .. import schema
 from ..errors import RingError, invalid
 from . import media as M
 from .storage import FileStorage
-from .volume import PROFILES, Event, Snapshot, State, Writer, chosen, frames_of, summary
+from .volume import PROFILES, Event, Snapshot, State, Writer, chosen, format_volume, frames_of, summary
 
 MODES = {"volume": schema.VOLUME, "partitions": schema.PARTITIONS, "blocks": schema.BLOCK_EVENTS, "gaps": schema.BLOCK_EVENTS, "records": schema.RECORD_EVENTS}
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -310,15 +310,19 @@ class StreamReader(DataSourceStreamReader):
 
 
 class Staged(WriterCommitMessage):
-    def __init__(self, number: int, files: list[str]):
-        self.number, self.files = number, files
+    """The runs that a task has staged, or the volume that it has written."""
+
+    def __init__(self, number: int, files: list[str], volume: str | None = None):
+        self.number, self.files, self.volume = number, files, volume
 
 
 class _Sink:
     """Tasks stage their rows beside the volume, in sorted runs; the commit merges them by ordinal into one writer.
 
     A task may be repeated or run twice without a record being written twice. A volume has
-    one writer, so all rows of a commit go through the driver, a batch at a time.
+    one writer, so all rows of a commit go through the driver, a batch at a time. With the
+    option layout=folder the path is a folder, in which each task writes a volume of its own, as large as its rows
+    need, and the commit only gives them their names; the folder is read as one table.
     """
 
     def __init__(self, options: dict[str, str]):
@@ -327,6 +331,10 @@ class _Sink:
         self.path = "/" + self.path.removeprefix("file:").lstrip("/") if self.path.startswith("file:") else self.path
         self.domain, self.every = int(get("time_domain", "1"), 0), int(get("checkpoint_every", "1000"))
         self.codecs = named(get("codecs"))
+        if get("layout", "volume") not in ("volume", "folder"):
+            raise invalid("layout is volume or folder")
+        self.folder = get("layout") == "folder"
+        self.geometry = [int(get(name, default), 0) for name, default in (("partition_size", "4194304"), ("index_size", "262144"), ("block", "32768"), ("quantum", "4096"))]
         known = {"none": (0, 1), "packbits": (1, 1), "lz4_block": (2, 1)}
         packing = get("compression", "none")
         key = known.get(packing) or tuple(int(x, 0) for x in packing.split(":"))
@@ -338,12 +346,49 @@ class _Sink:
         files = []
         made = ((int(r["ordinal"]), int(r["index_time_ns"]), int(r["selector"]) & M.U64, int(r["flags"]), bytes(r["payload"] or b"")) for r in rows)
         while run := sorted(islice(made, RUN_ROWS)):
-            files.append(f"{self.path}.staged-{uuid.uuid4().hex}")
+            if self.folder:
+                os.makedirs(self.path, exist_ok=True)
+            files.append(os.path.join(self.path, f".staged-{uuid.uuid4().hex}") if self.folder else f"{self.path}.staged-{uuid.uuid4().hex}")
             kinds = {"ordinal": pa.int64(), "t": pa.int64(), "s": pa.uint64(), "f": pa.int32(), "p": pa.binary()}
             table = pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), zip(*run, strict=True), strict=True)})
             with pa.OSFile(files[-1], "wb") as out, pa.ipc.new_file(out, table.schema) as w:
                 w.write_table(table, max_chunksize=BATCH_ROWS)
-        return Staged(TaskContext.get().partitionId(), files)
+        number = TaskContext.get().partitionId()
+        return self._own(number, files) if self.folder and files else Staged(number, files)
+
+    def _own(self, number: int, files: list[str]) -> Staged:
+        """The runs of a task in a volume of its own, hidden until the commit."""
+        size, index, block, quantum = self.geometry
+        staged = Staged(number, files)
+        # blocks that hold half of what they can, and one more partition than they need, so that none is overwritten
+        rows = sum(os.path.getsize(f) for f in files)
+        slots = max(2, 2 + 2 * rows // max(1, size - 2 * M.REGION - index - block))
+        path = os.path.join(self.path, f".{uuid.uuid4().hex}")
+        volume = FileStorage.create(path, M.PREFIX + slots * size)
+        try:
+            format_volume(volume, size, index, block, quantum)
+            writer = Writer(volume, self.options, registry=self.codecs)
+            self.append(writer, [staged])
+            writer.close()
+            if writer.partition.generation > slots:
+                raise RingError("no_space", "a task's rows exceed its volume")
+        except BaseException:
+            volume.close()
+            os.unlink(path)
+            raise
+        finally:
+            self.drop([staged])
+        return Staged(number, [], path)
+
+    def _publish(self, messages: list[Staged], batch: str) -> None:
+        """Names the tasks' volumes; one that has its name already is of a commit that is repeated."""
+        for m in messages:
+            if m and m.volume:
+                name = os.path.join(self.path, f"{batch}-{m.number:06d}.ring")
+                if os.path.exists(name):
+                    os.unlink(m.volume)
+                elif os.path.exists(m.volume):
+                    os.rename(m.volume, name)
 
     def _writer(self) -> Writer:
         writer = Writer(FileStorage(self.path, writable=True), self.options, registry=self.codecs)
@@ -372,7 +417,7 @@ class _Sink:
 
     def drop(self, messages: list[Staged]) -> None:
         for m in messages:
-            for file in m.files if m else ():
+            for file in [*m.files, *([m.volume] if m.volume else [])] if m else ():
                 if os.path.exists(file):
                     os.unlink(file)
 
@@ -387,6 +432,8 @@ class BatchWriter(DataSourceWriter, _Sink):
         return self.stage(iterator)
 
     def commit(self, messages: list[Staged]) -> None:
+        if self.folder:
+            return self._publish(messages, uuid.uuid4().hex[:12])
         writer = self._writer()
         try:
             self.append(writer, messages)
@@ -461,6 +508,8 @@ class StreamWriter(DataSourceStreamWriter, _Sink):
             s.close()
 
     def commit(self, messages: list[Staged], batchId: int) -> None:
+        if self.folder:
+            return self._publish(messages, f"batch-{batchId:09d}")
         note = self._noted()
         if batchId < note["batch"] or batchId == note["batch"] and note["done"]:
             self.drop(messages)
