@@ -146,13 +146,13 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # both joins take the same exchange of the texts, by keys without nulls; only what the edited text needs of the next document moves again
     key = lambda c: (F.coalesce(c, F.lit(0)), F.isnull(c))
-    keyed = texts.select("doc_id", "h", "text", key("doc_id")[0].alias("k"), key("doc_id")[1].alias("no"))
+    keyed = texts.select(key("doc_id")[0].alias("k"), key("doc_id")[1].alias("no"), "h", "text")
     needs = facts.select(key("next_id")[0].alias("k"), key("next_id")[1].alias("no"), F.col("next_h").alias("h"), key("doc_id")[0].alias("to_k"), key("doc_id")[1].alias("to_no"), F.col("h").alias("to_h"), F.floor(F.col("n_chars") / 2).cast("int").alias("take"))
-    lent = keyed.drop("doc_id").join(needs, ["k", "no", "h"]).select(F.col("to_k").alias("k"), F.col("to_no").alias("no"), F.col("to_h").alias("h"), F.substring("text", F.lit(1), F.col("take")).alias("lent"))
+    lent = keyed.join(needs, ["k", "no", "h"]).select(F.col("to_k").alias("k"), F.col("to_no").alias("no"), F.col("to_h").alias("h"), F.substring("text", F.lit(1), F.col("take")).alias("lent"))
     lent = lent.dropDuplicates(["k", "no", "h"])  # rows that repeat lend once
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), "lent")
-    both = keyed.join(lent, ["k", "no", "h"]).select("doc_id", "h", edited.alias("text"))
+    both = keyed.join(lent, ["k", "no", "h"]).select(F.when(~F.col("no"), F.col("k")).alias("doc_id"), "h", edited.alias("text"))
     both = both.withColumn("sha", F.sha2("text", 256))
     changed = scratch.table(fingerprints(both, ["doc_id", "h", "sha"]).dropDuplicates(["doc_id", "h"]), "edited")
 
