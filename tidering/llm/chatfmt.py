@@ -75,7 +75,9 @@ def maximal(conversations: DataFrame) -> DataFrame:
     full = hashes.where("place = n").groupBy("n", "h0", "h1").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
     begun = hashes.where("place < n").select(F.col("place").alias("n"), "h0", "h1").distinct()
     kept = full.join(begun, ["n", "h0", "h1"], "left_anti")
-    return scratch.table(kept.select("conv_id", F.col("n").cast("long").alias("n_turns"), "n_copies"), "kept")
+    kept = scratch.table(kept.select("conv_id", F.col("n").cast("long").alias("n_turns"), "n_copies"), "kept")
+    scratch.keep(kept)
+    return kept
 
 
 def rendered(conversations: DataFrame) -> DataFrame:

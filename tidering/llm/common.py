@@ -39,6 +39,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        self.written: set[str] = set()
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self._fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
         self._fs.deleteOnExit(path)
@@ -49,11 +50,20 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(_nullable(df.schema)).parquet(path)
         out._scratch_path = path
+        self.written.add(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path), True)
+        self._delete({t._scratch_path for t in tables})
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Drops all but the given ones, which are all that a result still reads."""
+        self._delete(self.written - {t._scratch_path for t in tables})
+
+    def _delete(self, paths: set[str]) -> None:
+        for path in sorted(paths):
+            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+        self.written -= paths
 
 
 def _nullable(schema: T.StructType) -> T.StructType:

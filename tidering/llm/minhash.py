@@ -392,7 +392,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = members.groupBy("c").agg(F.min(F.struct("doc_id", "h")).alias("f"))
     named = scratch.table(named.select("c", F.col("f.doc_id").alias("component_id"), F.col("f.h").alias("first_h")), "named")
     members = scratch.table(members.select("set_id", "c").join(named, "c").select("set_id", "component_id", "first_h"), "classes")
-    scratch.drop(*full, deltas, live, rows, reps, star, pivots, pairs, sets, nodes, comp, sizes, more, lacking, named)
+    scratch.keep(signed, members)
     out = signed.select("doc_id", "h", "n_shingles", "set_id").join(members, "set_id", "left")
     within = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     component = F.when(within, F.col("component_id")).otherwise(F.col("doc_id"))

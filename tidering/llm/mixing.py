@@ -86,6 +86,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", id
     wanted = scratch.table(targets(scratch, sizes).withColumnRenamed("source", "s"), "targets")
     rows = scratch.table(running_sum(rows, order, "size", "upto").select("doc_id", "source", "size", "h", "upto"), "upto")
 
+    scratch.keep(rows, wanted)
     out = rows.join(wanted, F.col("source").eqNullSafe(F.col("s")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - F.col("epochs") * F.col("source_size")

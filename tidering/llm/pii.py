@@ -505,18 +505,20 @@ def _run(n_kept: int, what: str):
                 else:
                     cols = {f"n_{k}": pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in BASE_KINDS}
                     cols["base_sha256"] = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found])
-                    cols["spans"] = pa.array([joined(all_) for _, all_ in found], pa.string())
+                    cols["spans"] = pa.array([joined([x for x in all_ if x[0] in BASE_KINDS]) for _, all_ in found], pa.string())
+                    cols["n_secret"] = pa.array([sum(x[0] not in BASE_KINDS for x in all_) for _, all_ in found], pa.int64())
+                    cols["secrets"] = pa.array([joined([x for x in all_ if x[0] not in BASE_KINDS]) for _, all_ in found], pa.string())
                 yield pa.RecordBatch.from_arrays([*kept, *cols.values()], names=[*names, *cols])
 
     return run
 
 
 def spans(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns, n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans (all, as kind:start:end)."""
+    """The kept columns, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all of these kinds, as kind:start:end), n_secret and secrets (those of the kind without a base pattern)."""
     keep = keep if keep is not None else ["doc_id"]
     kept = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
-    ddl = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes[1:]), *(f"n_{k} long" for k in BASE_KINDS), "base_sha256 string, spans string"])
-    disjoint(keep, [*(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
+    ddl = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes[1:]), *(f"n_{k} long" for k in BASE_KINDS), "base_sha256 string, spans string, n_secret long, secrets string"])
+    disjoint(keep, [*(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_secret", "secrets"])
     return kept.mapInArrow(_run(len(keep), "spans"), ddl)
 
 

@@ -156,6 +156,8 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = both.withColumn("sha", F.sha2("text", 256))
     changed = scratch.table(fingerprints(both, ["doc_id", "h", "sha"]).dropDuplicates(["doc_id", "h"]), "edited")
 
+    scratch.keep(facts, own, changed)
+
     def named(t: DataFrame, p: str) -> DataFrame:
         return t.select(F.col("doc_id").alias(f"{p}_i"), F.col("h").alias(f"{p}_h"), *(F.col(c).alias(f"{p}_{c}") for c in t.columns if c not in ("doc_id", "h")))
 

@@ -181,7 +181,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
 
     first = read(near.where(F.col("place") <= k), "first")
     rest = near.where(F.col("place") > k).join(kth(first, "score", "least"), "query").where("upper >= least")
-    scores = first.union(read(rest, "rest"))
+    more = read(rest, "rest")
+    scratch.keep(rows, first, more)
+    scores = first.union(more)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
     best = scores.withColumn("rank", rank).where(F.col("rank") <= k)
     out = best.join(asking.select(F.col("row").alias("query"), F.col("id").alias("query_id")), "query")
