@@ -38,6 +38,7 @@ ENTRY_FIELDS = ("offset", "frame_size", "frame_span", "sequence", "record_count"
 _ENTRY = struct.Struct("<QIIIIqqII")
 _FEATURE = struct.Struct("<HHIHHIIIQQ")
 _FRAME = struct.Struct("<IHHqQII")
+_SIZE = struct.Struct("<I")
 
 
 def corrupt(message: str) -> RingError:
@@ -323,15 +324,18 @@ def frames_decode(block: bytes) -> Frames:
     if head is not None:
         starts = np.arange(0, total, first, dtype=np.int64)
     else:
-        at, places = 0, []
-        while at < total:
-            if total - at < ENVELOPE:
-                raise corrupt("record: a suffix shorter than an envelope")
-            size = int.from_bytes(block[at : at + 4], "little")
-            if size < ENVELOPE or size > total - at:
-                raise corrupt("record: sizes")
-            places.append(at)
-            at += size
+        at, places, size_at = 0, [], _SIZE.unpack_from
+        try:
+            while at < total:
+                places.append(at)
+                size = size_at(block, at)[0]
+                if size < ENVELOPE:
+                    raise corrupt("record: sizes")
+                at += size
+        except struct.error:
+            at = -1
+        if at != total or total - places[-1] < ENVELOPE:
+            raise corrupt("record: a suffix shorter than an envelope, or sizes")
         starts = np.array(places, np.int64)
         head = np.ascontiguousarray(data[starts[:, None] + np.arange(ENVELOPE)]).view(_HEAD).ravel()
     sizes = head["size"].astype(np.int64)
