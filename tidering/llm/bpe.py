@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import disjoint
+from .common import bounded_batches, disjoint
 
 #: Parts and pieces of at most so many characters are remembered, so many of each in a worker.
 KEPT_CHARS, KEPT_PARTS, KEPT_PIECES = 40, 300_000, 400_000
@@ -190,6 +190,7 @@ def _run(ranks: bytes, pattern: str, digests: bool):
 def _encoded(docs: DataFrame, path: str, pattern: str, text_col: str, keep: list[str], digests: bool) -> DataFrame:
     with open(path, "rb") as f:  # fixed size, read where the query is planned and sent along with the task
         ranks = f.read()
+    bounded_batches(docs.sparkSession)
     kept = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
     disjoint(keep, ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"])
     made = "ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded binary"

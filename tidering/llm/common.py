@@ -12,9 +12,19 @@ from pyspark.sql import types as T
 #: Folds of the labelled rows: remainder 0 is held out, the others may be learnt from.
 FOLDS = 5
 
+#: Rows of an Arrow batch at most: a batch is held by the JVM and by the worker, both ways, and texts are long.
+BATCH_ROWS = 1000
+
 _own_dir: str | None = None
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS, where they are more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where it is unset, a temporary one on a local master only."""
     global _own_dir
@@ -37,6 +47,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
         self.written: set[str] = set()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import disjoint, fold
+from .common import bounded_batches, disjoint, fold
 
 #: Bounds of what is learnt from: rows of a language on average, and languages' rows in total.
 SAMPLE_A_LANGUAGE, SAMPLE_ROWS = 400, 4000
@@ -104,6 +104,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from the labelled rows (id, text, lang); rows without lang, text or a letter teach nothing."""
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    bounded_batches(labelled.sparkSession)
     sizes = {r["lang"]: r["n"] for r in labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros(DIMS), np.zeros((0, DIMS)), np.zeros(0, int), np.zeros(0))
@@ -142,6 +143,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     """The kept columns, lang_pred, score (0 to 1), cosine and rejected."""
     keep = keep if keep is not None else ["doc_id"]
     disjoint(keep, ["lang_pred", "score", "cosine", "rejected"])
+    bounded_batches(docs.sparkSession)
     kept = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
     ddl = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes[1:]), "lang_pred string, score double, cosine double, rejected boolean"])
     return kept.mapInArrow(_predicted(model, len(keep)), ddl)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import disjoint
+from .common import bounded_batches, disjoint
 
 #: Kinds with a base pattern, and all of them.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -516,6 +516,7 @@ def _run(n_kept: int, what: str):
 def spans(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all of these kinds, as kind:start:end), n_secret and secrets (those of the kind without a base pattern)."""
     keep = keep if keep is not None else ["doc_id"]
+    bounded_batches(docs.sparkSession)
     kept = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
     ddl = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes[1:]), *(f"n_{k} long" for k in BASE_KINDS), "base_sha256 string, spans string, n_secret long, secrets string"])
     disjoint(keep, [*(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_secret", "secrets"])
@@ -526,5 +527,6 @@ def redacted(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
     """The kept columns and text, its spans replaced by <KIND>."""
     keep = keep if keep is not None else ["doc_id"]
     disjoint(keep, ["text"])
+    bounded_batches(docs.sparkSession)
     kept = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
     return kept.mapInArrow(_run(len(keep), "redact"), ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes[1:]), "text string"]))

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, disjoint, fold
+from .common import Scratch, bounded_batches, disjoint, fold
 
 #: Bound of the labelled rows that are learnt from, of each label on average.
 SAMPLE_A_LABEL = 3000
@@ -448,6 +448,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     """The kept columns, score (0 to 1) and predicted (1 from 0.5)."""
     keep = keep if keep is not None else ["doc_id"]
     disjoint(keep, ["score", "predicted"])
+    bounded_batches(docs.sparkSession)
     kept = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
     ddl = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes[1:]), "score double, predicted int"])
     return kept.mapInArrow(_scored(model, len(keep)), ddl)
