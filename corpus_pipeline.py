@@ -38,6 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg(F.bool_or("first").alias("_first"), (F.count(F.lit(1)) > 1).alias("_again"))
     # only rows that go or repeat: the others need no entry
     told = scratch.table(rows.where("not _first or _again"), "told")
+    # the same plan at every size: documents and entries are exchanged, entries are never broadcast
+    told = told.hint("merge")
     joined = docs.select(*COLUMNS).withColumn("_t", F.xxhash64(F.col("text").cast("binary"))).join(told, (F.col("doc_id") == F.col("_id")) & (F.col("_t") == F.col("_h")), "left")
     out = joined.where("_id is null").select(*COLUMNS)
     if told.where("_first and _again").isEmpty():
