@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
+import tracemalloc
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from tidering.errors import RingError
 from tidering.functions import codecs as K
+from tidering.plans import catalogue
 from tidering.sources import media as M
 
 H = bytes.fromhex
@@ -82,3 +92,73 @@ def test_every_cut_of_a_record_is_seen():
     for n in range(1, len(H(RECORD))):
         with pytest.raises(RingError):
             M.frame_decode(H(RECORD)[:n])
+
+
+def _peak(f, raw: bytes) -> tuple[bytes, int]:
+    tracemalloc.start()
+    try:
+        return f(raw), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def _long_text() -> bytes:
+    """Of many pieces, with matches and runs over their edges."""
+    r, n = random.Random(5), K._PIECE
+    words = [r.randbytes(r.randint(2, 9)) for _ in range(3000)]
+    text = b"".join(r.choices(words, k=120_000))
+    return text[: n - 7] + b"r" * 300 + text + b"s" * (3 * n + 5) + text[-n:] + b"t" * 5 * n
+
+
+def test_lz4_takes_memory_by_the_piece():
+    raw = _long_text()
+    packed, peak = _peak(K.lz4_encode, raw)
+    assert K.lz4_decode(packed, len(raw)) == raw and len(packed) < len(raw) * 0.9
+    assert peak < 24 << 20, peak
+
+
+@pytest.mark.parametrize("raw", [b"a" * 200_000, b"ab" * 70_000 + b"c" * 70_000, random.Random(1).randbytes(66_000) * 2, random.Random(2).randbytes(1 << 16) + b"xyzw" * 9])
+def test_lz4_pieces_do_not_show(raw, monkeypatch):
+    want = K.lz4_encode(raw)
+    for piece in (1000, 1 << 20):
+        monkeypatch.setattr(K, "_PIECE", piece)
+        assert K.lz4_encode(raw) == want
+    assert K.lz4_decode(want, len(raw)) == raw
+
+
+@given(st.lists(st.integers(0, 12), max_size=30), st.integers(1, 20))
+@settings(max_examples=200, deadline=None)
+def test_parts_are_all_rows_within_the_bound(sizes, most):
+    got = [list(range(*p.indices(len(sizes)))) for p in K._parts(np.array(sizes, np.int64), most)]
+    assert [i for p in got for i in p] == list(range(len(sizes)))
+    assert all(p and (len(p) == 1 or sum(sizes[i] for i in p) <= most) for p in got)
+
+
+@pytest.mark.parametrize("name", ["packbits", "lz4_block"])
+def test_arrow_functions_answer_every_row(spark, name):
+    big = b"0123456789abcdef" * (K.BATCH_BYTES // 16) + b"z" * 99
+    rows = [None, b"", b"a", big, b"a" * 500, None, *(bytes([i % 256]) * i for i in range(300))]
+    t = spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in enumerate(rows)], "i int, raw binary").coalesce(1)
+    packed = K.encoded(F.col("raw"), name)
+    back, trip = K.decoded(F.col("packed"), F.octet_length("raw"), name), K.round_tripped(F.col("raw"), name)
+    got = t.withColumn("packed", packed).select("i", F.sha2("packed", 256), F.sha2(back, 256), F.sha2(trip, 256), K.crc32c_of(F.col("raw"))).orderBy("i").collect()
+    sha = lambda x: None if x is None else hashlib.sha256(x).hexdigest()
+    encode = lambda x: None if x is None else K.NAMES[name].encode(x)
+    assert [tuple(r) for r in got] == [(i, sha(encode(x)), sha(x), sha(x), None if x is None else K.crc32c(x)) for i, x in enumerate(rows)]
+
+
+def test_workers_are_sent_bounded_bytes(spark):
+    @arrow_udf("long")
+    def sent(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in batches:
+            yield pa.array([a.get_total_buffer_size()] * len(a))
+
+    catalogue.queries()["lz4_roundtrip"](spark, "/root/testdata/sf0.001")
+    t = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 5000).cast("binary").alias("raw"))
+    assert t.select(F.max(sent("raw"))).first()[0] < 1.1 * K.BATCH_BYTES
+
+
+@pytest.mark.parametrize("name", ["lz4_roundtrip"])
+def test_a_round_trip_takes_one_worker(spark, name):
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

@@ -499,14 +499,14 @@ def status_names(spark, d):
 
 
 def _texts(spark, d) -> DataFrame:
+    codecs.bounded_batches(spark)
     t = spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", F.col("text").cast("binary").alias("raw"))
     return spread(t)
 
 
 def _round_trip(spark, d, name: str) -> DataFrame:
-    t = _texts(spark, d).withColumn("packed", codecs.encoded(F.col("raw"), name))
-    back = codecs.decoded(F.col("packed"), F.octet_length("raw"), name)
-    return t.select("doc_id", F.octet_length("raw").cast("long").alias("raw_size"), F.sha2(back, 256).alias("sha256"))
+    back = codecs.round_tripped(F.col("raw"), name)
+    return _texts(spark, d).select("doc_id", F.octet_length("raw").cast("long").alias("raw_size"), F.sha2(back, 256).alias("sha256"))
 
 
 SHA = "SELECT doc_id, strlen(text)::BIGINT AS raw_size, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL"
@@ -531,6 +531,7 @@ f AS (SELECT ordinal, mixed, list_reduce(list_concat([4294967295::BIGINT], bytes
   list_reduce(list_concat([14695981039346656037::UHUGEINT], list_transform(bytes, lambda x: x::UHUGEINT)), lambda c, x: xor(c, x) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT) AS f FROM m, t)
 SELECT ordinal, xor(c, 4294967295)::BIGINT AS crc, {SIGNED.format('f')} AS fnv, {SIGNED.format('mixed')} AS mixed FROM f""")
 def frame_crc(spark, d):
+    codecs.bounded_batches(spark)
     e = records.events(spark, d)
     return e.select("ordinal", codecs.crc32c_of(F.col("payload")).alias("crc"), codecs.fnv1a_of(F.col("payload")).alias("fnv"), codecs.splitmix64_of(F.col("ordinal")).alias("mixed"))
 
