@@ -158,7 +158,22 @@ def test_workers_are_sent_bounded_bytes(spark):
     assert t.select(F.max(sent("raw"))).first()[0] < 1.1 * K.BATCH_BYTES
 
 
-@pytest.mark.parametrize("name", ["lz4_roundtrip"])
+@pytest.mark.parametrize("name", ["packbits_roundtrip", "lz4_roundtrip"])
 def test_a_round_trip_takes_one_worker(spark, name):
     plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_packbits_takes_memory_by_the_piece():
+    raw = _long_text()
+    packed, peak = _peak(K.packbits_encode, raw)
+    assert K.packbits_decode(packed, len(raw)) == raw
+    assert peak < 6 << 20, peak
+
+
+@pytest.mark.parametrize("raw", [b"a" * 1000, b"aabbb" * 60, b"abc" * 99 + b"d" * 133, b"x" * 132 + b"yy"])
+@pytest.mark.parametrize("piece", [1, 2, 7, 131])
+def test_packbits_pieces_do_not_show(raw, piece, monkeypatch):
+    want = K.packbits_encode(raw)
+    monkeypatch.setattr(K, "_PIECE", piece)
+    assert K.packbits_encode(raw) == want
